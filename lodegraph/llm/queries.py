@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import splitting
+from lodegraph.llm import docpairs, splitting
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_nodes(_table(spark, d, "repo_nodes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented_ids(_table(spark, d, "repo_nodes"))
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented_pairs(_table(spark, d, "repo_nodes"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_found": p6_found, "p6_pairs": p6_pairs}
 
 SQL = {"p1_found": "select distinct node_id from repo_nodes where length(source_text) > 4000"}
