@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import docpairs, splitting
+from lodegraph.llm import docpairs, personal, splitting
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.documented_pairs(_table(spark, d, "repo_nodes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_found": p6_found, "p6_pairs": p6_pairs}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find_mentions(_table(spark, d, "documents")).select("doc_id", "kind", "start_at")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redact_documents(_table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_found": p6_found, "p6_pairs": p6_pairs, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 SQL = {"p1_found": "select distinct node_id from repo_nodes where length(source_text) > 4000"}
