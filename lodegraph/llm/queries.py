@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodegraph.llm import docpairs, personal, splitting
+from lodegraph.llm import docpairs, leakage, packing, personal, splitting
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,6 +29,26 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.documented_pairs(_table(spark, d, "repo_nodes"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, d))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max(F.col("matched_words") / F.col("item_words")).alias("max_share"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.find_mentions(_table(spark, d, "documents")).select("doc_id", "kind", "start_at")
 
@@ -36,6 +57,6 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redact_documents(_table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_found": p6_found, "p6_pairs": p6_pairs, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 SQL = {"p1_found": "select distinct node_id from repo_nodes where length(source_text) > 4000"}
