@@ -134,8 +134,13 @@ def identities(text: str, head: list[str]) -> tuple[set[str], bool]:
     return own, stated
 
 
+def _prose(string: str) -> bool:
+    return string.count(" ") > 3 and sum(c.isalpha() or c == " " for c in string) > 0.9 * len(string)
+
+
 def literal_share(text: str) -> float:
-    bare = re.sub(r"\s+", "", _COMMENT.sub(lambda m: m[1] or "", text))
+    # A string of several words is prose for people, not data.
+    bare = re.sub(r"\s+", "", _COMMENT.sub(lambda m: "x" if m[1] and _prose(m[1]) else m[1] or "", text))
     return sum(map(len, _LITERAL.findall(bare))) / max(1, len(bare))
 
 
