@@ -234,8 +234,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(files: DataFrame) -> Models:
     """Models of all files. What reaches the driver is bounded by alphabet and languages: LANGUAGES * 3 * BASE^3 numbers."""
     counts: dict[tuple[str, str], np.ndarray] = {}
-    for r in files.mapInArrow(_count, "kind string, lang string, code bigint, n bigint").groupBy("kind", "lang", "code").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts.setdefault((r.kind, r.lang), np.zeros(BASE**3, np.int64))[r.code] = r.n
+    summed = files.mapInArrow(_count, "kind string, lang string, code bigint, n bigint").groupBy("kind", "lang", "code").agg(F.sum("n").alias("n"))
+    for (kind, lang), own in summed.toArrow().to_pandas().groupby(["kind", "lang"]):
+        table = counts[kind, lang] = np.zeros(BASE**3, np.int64)
+        table[own["code"].to_numpy()] = own["n"].to_numpy()
     return Models(counts)
 
 
