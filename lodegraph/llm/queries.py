@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import docpairs, leakage, packing, personal, provenance, splitting
+from lodegraph.llm import docpairs, leakage, packing, personal, provenance, splitting, syntax
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -21,6 +21,18 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_nodes(_table(spark, d, "repo_nodes"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_files(_table(spark, d, "repo_nodes")).select("wiki_id", "rel_path")
+
+
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_files(_table(spark, d, "repo_nodes"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_rates(_table(spark, d, "repo_nodes"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return provenance.not_handwritten(_table(spark, d, "repo_nodes")).select("wiki_id", "rel_path")
 
@@ -65,6 +77,6 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redact_documents(_table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_reasons": p4_reasons, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 SQL = {"p1_found": "select distinct node_id from repo_nodes where length(source_text) > 4000"}
