@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import docpairs, leakage, packing, personal, provenance, splitting, syntax
+from lodegraph.llm import docpairs, leakage, neighbours, packing, personal, provenance, splitting, syntax
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -41,6 +41,14 @@ def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     return provenance.not_handwritten(_table(spark, d, "repo_nodes")).groupBy("wiki_id", "reason").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.close_pairs(_table(spark, d, "repo_vec"))
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbours(_table(spark, d, "repo_vec"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.documented_ids(_table(spark, d, "repo_nodes"))
 
@@ -77,6 +85,6 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redact_documents(_table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 SQL = {"p1_found": "select distinct node_id from repo_nodes where length(source_text) > 4000"}
