@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from lodegraph.plans import dataprep
+from lodegraph.plans import dataprep, structure
 
-FLAGSHIP = "p7_report"
+FLAGSHIP = "god_nodes"
+_MODULES = (dataprep, structure)
 
 
 def queries() -> dict:
-    return dict(dataprep.QUERIES)
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(dataprep.SQL)
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}
