@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodegraph.plans import dataprep, structure
+from lodegraph.plans import dataprep, search, structure
 
 FLAGSHIP = "god_nodes"
-_MODULES = (dataprep, structure)
+_MODULES = (dataprep, structure, search)
 
 
 def queries() -> dict:
