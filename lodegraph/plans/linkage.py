@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodegraph import schema as S
 from lodegraph.functions import scalars as X
 from lodegraph.operators import graph as G
 from lodegraph.operators import incremental as I
@@ -322,5 +321,3 @@ def staleness(s, d):
     c = table(s, d, "node_changes").groupBy("wiki_id").agg(F.max("changed_at").alias("changed"))
     return b.join(c, "wiki_id", "left").select("wiki_id", F.coalesce(F.col("changed") > F.col("built"), F.lit(False)).alias("is_stale"))
 
-
-_ = S
