@@ -251,7 +251,7 @@ def centroids(nodes: DataFrame, edges: DataFrame, assigned: DataFrame, least_pri
     rows = assigned.join(G.with_degree(nodes, edges).select("node_id", "degree", X.type_priority(F.col("symbol_type")).alias("prio")), "node_id")
     c = Window.partitionBy("wiki_id", "cluster")
     scored = rows.withColumns({"md": F.greatest(F.max("degree").over(c), F.lit(1)), "mp": F.greatest(F.max("prio").over(c), F.lit(1)), "n": F.count(F.lit(1)).over(c)})
-    scored = scored.withColumn("raw", 0.6 * F.col("degree") / F.col("md") + 0.4 * F.col("prio") / F.col("mp"))
+    scored = scored.withColumn("raw", F.round(0.6 * F.col("degree") / F.col("md") + 0.4 * F.col("prio") / F.col("mp"), 9))
     pool = scored.withColumn("lead", F.max((F.col("prio") >= least_priority).cast("int")).over(c)).where((F.col("lead") == 0) | (F.col("prio") >= least_priority))
     ranked = pool.withColumns({"position": F.row_number().over(c.orderBy(F.desc("raw"), "node_id")), "top": F.max("raw").over(c)})
     k = F.least(F.lit(10), F.greatest(F.lit(1), F.bround(F.sqrt("n")).cast("int")))

@@ -94,7 +94,7 @@ _PRIO = "case symbol_type " + " ".join(f"when '{k}' then {v}" for k, v in S.TYPE
     "page_centroids",
     f"""{WITH}, g as (select node_id, count(*) as degree from (select source_id as node_id from e union all select target_id from e) group by 1),
 r as (select n.wiki_id, macro_cluster as cluster, n.node_id, coalesce(degree, 0) as degree, {_PRIO} as prio from n left join g on g.node_id = n.node_id where macro_cluster is not null),
-z as (select *, 0.6 * degree / greatest(max(degree) over w, 1) + 0.4 * prio / greatest(max(prio) over w, 1) as raw, count(*) over w as k, max(case when prio >= 5 then 1 else 0 end) over w as lead from r window w as (partition by wiki_id, cluster)),
+z as (select *, round(0.6 * degree / greatest(max(degree) over w, 1) + 0.4 * prio / greatest(max(prio) over w, 1), 9) as raw, count(*) over w as k, max(case when prio >= 5 then 1 else 0 end) over w as lead from r window w as (partition by wiki_id, cluster)),
 p as (select *, row_number() over (partition by wiki_id, cluster order by raw desc, node_id) as position, max(raw) over (partition by wiki_id, cluster) as top from z where lead = 0 or prio >= 5)
 select wiki_id, cluster, node_id, round(case when top > 0 then raw / top else 0 end, 4) as score, position from p where position <= least(10, greatest(1, cast(round_even(sqrt(k), 0) as int)))""",
 )

@@ -44,9 +44,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives lost executors); used between iterations only."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint (survives lost executors); used between iterations only.
+
+    A checkpointed DataFrame still carries the constraints of its old plan, which multiply from round to round and make
+    planning slower than the work; the rows are therefore put under a plan without them.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
 def spread(df: DataFrame) -> DataFrame:
