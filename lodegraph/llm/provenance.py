@@ -210,7 +210,8 @@ def judge(path: str | None, language: str | None, text: str, models: Models) ->
 
 
 _CONTROL = re.compile(r"\b(?:return|if|for|while|def|func|function|switch|try)\b")
-_TRAINED = pa.schema([("kind", pa.string()), ("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
+MODELS = tuple((kind, lang) for kind in ("names", "own", "vendor") for lang in (*LANGUAGES, "other"))
+_TRAINED = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,18 +227,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if (kind, lang) not in sums:
                         sums[kind, lang] = np.zeros(BASE**3, np.int64)
                     sums[kind, lang][code] += n
-    for (kind, lang), table in sums.items():
+    for key, table in sums.items():
         code = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(code)), pa.array([lang] * len(code)), pa.array(code), pa.array(table[code])], schema=_TRAINED)
+        yield pa.RecordBatch.from_arrays([pa.array(code + MODELS.index(key) * BASE**3), pa.array(table[code])], schema=_TRAINED)
 
 
 def train(files: DataFrame) -> Models:
-    """Models of all files. What reaches the driver is bounded by alphabet and languages: LANGUAGES * 3 * BASE^3 numbers."""
+    """Models of all files. What reaches the driver is bounded by alphabet and languages: at most len(MODELS) * BASE^3 pairs of numbers."""
     counts: dict[tuple[str, str], np.ndarray] = {}
-    summed = files.mapInArrow(_count, "kind string, lang string, code bigint, n bigint").groupBy("kind", "lang", "code").agg(F.sum("n").alias("n"))
-    for (kind, lang), own in summed.toArrow().to_pandas().groupby(["kind", "lang"]):
-        table = counts[kind, lang] = np.zeros(BASE**3, np.int64)
-        table[own["code"].to_numpy()] = own["n"].to_numpy()
+    summed = files.mapInArrow(_count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = np.asarray(summed["code"]), np.asarray(summed["n"])
+    for i, key in enumerate(MODELS):
+        own = code // BASE**3 == i
+        if own.any():
+            counts[key] = np.zeros(BASE**3, np.int64)
+            counts[key][code[own] % BASE**3] = n[own]
     return Models(counts)
 
 
