@@ -56,7 +56,7 @@ BASE = len(SYMBOLS) + 1  # 0 marks the ends of a name
 #: share of literals and control words at most of a data file; bits a character by which a type or package name must
 #: read more like those of vendored files than like the others.
 EXCESS_BITS, MANGLED_SHARE, LONG_LINE = 1.0, 0.3, 160
-TEMPLATE_NAMES, DIVERSITY = 6, 0.4
+TEMPLATE_NAMES, TEMPLATE_COUNTERS, DIVERSITY = 6, 4, 0.4
 DATA_SHARE, DATA_CONTROL = 0.55, 2
 FOREIGN_BITS = 0.6
 LANGUAGES = ("python", "javascript", "typescript", "java", "go")
@@ -145,11 +145,12 @@ def literal_share(text: str) -> float:
 
 
 def diversity(text: str) -> tuple[int, float]:
-    """Declared names with a counter, and distinct templates (first word and shape) a declared name."""
+    """Declared names with a counter (none where few counters differ), and distinct templates (first word and shape) a declared name."""
     names = [a or b for a, b in _DECLARED.findall(text)]
     if not names:
         return 0, 1.0
-    counted = [n for n in names if _COUNTER.search(n)]
+    counters = {c for n in names for c in _COUNTER.findall(n)[-1:]}
+    counted = [n for n in names if _COUNTER.search(n)] if len(counters) >= TEMPLATE_COUNTERS else []
     shapes = {(_WORDS.findall(n) or [n])[0] + "#" + re.sub(r"[A-Za-z]+", "w", _COUNTER.sub("0", n)) for n in names}
     return len(counted), len(shapes) / len(names)
 
