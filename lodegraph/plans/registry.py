@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodegraph.plans import communities, context, dataprep, linkage, search, structure
+from lodegraph.plans import communities, context, dataprep, linkage, passes, search, structure
 
 FLAGSHIP = "god_nodes"
-_MODULES = (dataprep, structure, search, linkage, communities, context)
+_MODULES = (dataprep, structure, search, linkage, communities, context, passes)
 
 
 def queries() -> dict:
