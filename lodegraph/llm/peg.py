@@ -9,10 +9,13 @@ parsing takes linear time, and the furthest place where a terminal failed is kep
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 
 _LEX = re.compile(r"\s*(?:([A-Za-z_]\w*)\s*(<-)?|('[^']+')|(\{\w+\})|([/*+?&!()]))")
 NEWLINE, STOP = "\n", "\0"
+#: Calls that a parse may nest (they lie on the heap); a deeper text fails, as with parsers that have such a limit.
+DEPTH = 300_000
 
 Matcher = Callable[[int], int]
 
@@ -36,7 +39,12 @@ class Grammar:
         self._text, self._far = text + STOP, 0
         for memo in self._memos:
             memo.clear()
-        end = self._compiled[rule](0)
+        if sys.getrecursionlimit() < DEPTH:
+            sys.setrecursionlimit(DEPTH)
+        try:
+            end = self._compiled[rule](0)
+        except RecursionError:
+            return False, min(self._far, len(text))
         if end >= 0:
             while self._text[end] == NEWLINE:
                 end += 1

@@ -224,6 +224,12 @@ def test_documented_pairs_dirty(spark):
     assert P.documented_ids(nodes_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("lang", sorted(GOOD))
+def test_deep_and_odd_texts_end(lang):
+    for text in ("(" * 3000 + ")" * 3000, "{" * 3000 + "}" * 3000, "[(" * 2000, "`" * 3001, '"' * 3001, "if (a) " * 3000 + ";", "x" * 200_000, "\x00\ud800"):
+        X.failure(lang, text)
+
+
 def test_very_long_text():
     long = "x = 1\n" * 200_000
     assert X.language("python").check(long) is None
