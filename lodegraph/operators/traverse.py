@@ -13,6 +13,10 @@ from lodegraph.operators.graph import edge_types, min_confidence
 from lodegraph.session import cut_lineage
 
 
+#: Walks of so many hops are one lazy plan; longer ones cut lineage and end early.
+SHORT_WALK = 3
+
+
 def arcs(edges: DataFrame, direction: str) -> DataFrame:
     """Distinct (here, there) of edges followed out, in or both ways."""
     out = edges.select(F.col("source_id").alias("here"), F.col("target_id").alias("there"))
@@ -33,7 +37,7 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both"
         nxt = nxt.join(seen.select("seed", "node_id"), ["seed", "node_id"], "left_anti").withColumn("hop", F.lit(hop))
         frontier = nxt
         seen = seen.unionByName(frontier)
-        if hop < hops:
+        if hop < hops and hops > SHORT_WALK:
             frontier = cut_lineage(frontier)
             if frontier.isEmpty():
                 break

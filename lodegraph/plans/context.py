@@ -163,16 +163,21 @@ def first_paragraphs(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", M.first_paragraph(F.col("text")).alias("lead"))
 
 
+_SLUG = "regexp_replace(regexp_replace(translate(lower({c}), '" + X._ACCENTED + "', '" + X._PLAIN + "'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_BIGRAMS = "list_distinct(list_transform(range(1, length({c})), lambda i: substr({c}, i, 2)))"
+
+
 @query(
     "slug_similarity",
-    """with t as (select distinct lower(regexp_replace(title, '[^A-Za-z0-9]+', '-', 'g')) as slug from documents where title is not null order by 1 limit 60), g as (select slug, list(distinct substr(slug, i, 2)) as b from (select slug, unnest(range(1, length(slug))) as i from t) group by 1)
-select x.slug as a, y.slug as b, round(len(list_intersect(x.b, y.b)) / len(list_distinct(list_concat(x.b, y.b))), 6) as similarity from g x join g y on x.slug < y.slug where len(list_intersect(x.b, y.b)) / len(list_distinct(list_concat(x.b, y.b))) >= 0.3""",
+    f"""with t as (select doc_id, {_SLUG.format(c="title")} as a, {_SLUG.format(c="regexp_extract(text, '(?m)^#{1,6}[ \t]+([^\n]+)', 1)".replace("{", "{{").replace("}", "}}")).replace("{{", "{").replace("}}", "}")} as b from documents where title is not null and text is not null),
+g as (select doc_id, a, b, {_BIGRAMS.format(c="a")} as ga, {_BIGRAMS.format(c="b")} as gb from t)
+select doc_id, a, b, round(case when a = b then 1.0 when len(list_distinct(list_concat(ga, gb))) > 0 then len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb))) else 0 end, 6) as similarity from g""",
 )
 def slug_similarity(s, d):
-    """Similar titles among the first sixty distinct slugs: the index of one site."""
-    t = table(s, d, "documents").where("title is not null").select(F.lower(F.regexp_replace("title", "[^A-Za-z0-9]+", "-")).alias("slug")).distinct().orderBy("slug").limit(60)
-    rows = t.select(F.col("slug").alias("a")).join(F.broadcast(t.select(F.col("slug").alias("b"))), F.col("a") < F.col("b"))
-    return rows.select("a", "b", F.round(X.slug_similarity(F.col("a"), F.col("b")), 6).alias("similarity")).where("similarity >= 0.3")
+    """How alike a document's title and its first heading are, by their slugs."""
+    t = table(s, d, "documents").where("title is not null and text is not null")
+    rows = t.select("doc_id", X.slug(F.col("title")).alias("a"), X.slug(F.regexp_extract("text", r"(?m)^#{1,6}[ \t]+([^\n]+)", 1)).alias("b"))
+    return rows.select("doc_id", "a", "b", F.round(X.slug_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 @query("file_line_slices", f"{WITH} select node_id, array_to_string(list_slice(regexp_split_to_array(source_text, '\\n'), 11, 20), chr(10)) as lines from n where is_doc and source_text is not null")

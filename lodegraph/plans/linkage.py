@@ -261,7 +261,7 @@ def answer_log(s, d):
 _LOG = "lg as (select doc_id as id, coalesce(wiki_id, '') as wiki_id, sha256(lower(trim(coalesce(title, '')))) as question_hash, ['pending', 'validated', 'rejected', 'enriched'][cast(doc_id % 4 + 1 as int)] as status, case when doc_id % 3 = 0 then 1 else 0 end as is_cache_hit, case when doc_id % 5 = 0 then 1 else 0 end as has_context, 'c' || cast(doc_id % 2 as varchar) as source_commit_hash, created_at from documents where source = 'qa_answer')"
 
 
-@query("answer_stats", f"with {_LOG} select wiki_id, count(*) as total, sum(is_cache_hit) as cache_hits, sum(case when status = 'validated' then 1 else 0 end) as validated, sum(case when status = 'rejected' then 1 else 0 end) as rejected, round(sum(is_cache_hit) / count(*), 6) as hit_rate from lg group by 1")
+@query("answer_stats", f"with {_LOG} select wiki_id, count(*) as total, cast(sum(is_cache_hit) as bigint) as cache_hits, cast(sum(case when status = 'validated' then 1 else 0 end) as bigint) as validated, cast(sum(case when status = 'rejected' then 1 else 0 end) as bigint) as rejected, round(sum(is_cache_hit) / count(*), 6) as hit_rate from lg group by 1")
 def answer_stats(s, d):
     return I.answer_stats(answer_log(s, d))
 

@@ -103,7 +103,7 @@ def scan_clusters_nested(s, d):
 
 @query(
     "source_preview",
-    f"{WITH} select wiki_id, split_part(rel_path, '/', 1) as top_path, count(distinct rel_path) as n_files, sum(length(source_text)) as n_chars from n where symbol_type = 'module' group by 1, 2",
+    f"{WITH} select wiki_id, split_part(rel_path, '/', 1) as top_path, count(distinct rel_path) as n_files, cast(sum(length(source_text)) as bigint) as n_chars from n where symbol_type = 'module' group by 1, 2",
 )
 def source_preview(s, d):
     files = _n(s, d, "source_text").where("symbol_type = 'module'")
@@ -165,10 +165,10 @@ def embedding_pending(s, d):
     return W.embedding_pending(_n(s, d, "content_hash", "embedding_content_hash").where("is_architectural")).select("node_id")
 
 
-@query("embedding_sink", "select node_id, max(length) as n from (select node_id, len(embedding) as length from repo_vec) group by 1")
+@query("embedding_sink", "select node_id, coalesce(max(length), 0) as n from (select node_id, len(embedding) as length from repo_vec) group by 1")
 def embedding_sink(s, d):
     v = table(s, d, "repo_vec").select("node_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("n"))
-    return W.upsert(v.groupBy("node_id").agg(F.max("n").alias("n")), v.limit(0), ["node_id"])
+    return W.upsert(v.groupBy("node_id").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")), v.limit(0), ["node_id"])
 
 
 # --- Predicates -----------------------------------------------------------------------------------------------------
@@ -235,11 +235,11 @@ def repository_registry(s, d):
     "related_nodes_out",
     f"""{WITH}, p as (select distinct e.source_id as node_id, e.target_id as other from e where e.rel_type in ('calls', 'references')),
 r as (select p.node_id, p.other, t.rel_path, t.start_line, t.symbol_type, row_number() over (partition by p.node_id order by t.rel_path nulls last, t.start_line nulls last, p.other) as position from p join n t on t.node_id = p.other)
-select node_id, other, rel_path, start_line, symbol_type, position from r where position <= 15""",
+select node_id, other, rel_path, coalesce(start_line, -1) as start_line, symbol_type, position from r where position <= 15""",
 )
 def related_nodes_out(s, d):
     n, e = _g(s, d)
-    return G.related_nodes(n, e, "out", ["calls", "references"]).select("node_id", "other", "rel_path", "start_line", "symbol_type", F.col("position").cast("long").alias("position"))
+    return G.related_nodes(n, e, "out", ["calls", "references"]).select("node_id", "other", "rel_path", F.coalesce("start_line", F.lit(-1)).alias("start_line"), "symbol_type", F.col("position").cast("long").alias("position"))
 
 
 @query(
@@ -281,7 +281,7 @@ def exact_lookup(s, d):
 @query(
     "graph_stats",
     f"""{WITH} select 'nodes' as metric, '' as label, count(*) as n from n union all select 'edges', '', count(*) from e union all select 'macro_clusters', '', count(distinct macro_cluster) from n
-union all select 'hubs', '', coalesce(sum(case when is_hub = 1 then 1 else 0 end), 0) from n union all select 'language', language, count(*) from n group by 2 union all select 'symbol_type', symbol_type, count(*) from n group by 2
+union all select 'hubs', '', cast(coalesce(sum(case when is_hub = 1 then 1 else 0 end), 0) as bigint) from n union all select 'language', language, count(*) from n group by 2 union all select 'symbol_type', symbol_type, count(*) from n group by 2
 union all select 'rel_type', rel_type, count(*) from e group by 2 union all select 'confidence', b.label, (select count(*) from e where coalesce(confidence, 'EXTRACTED') = b.label) from (values ('EXTRACTED'), ('INFERRED'), ('AMBIGUOUS')) b(label)""",
 )
 def graph_stats(s, d):
@@ -306,7 +306,7 @@ def god_nodes(s, d):
 
 @query(
     "god_files",
-    f"{WITH} select s.rel_path, sum(case when s.is_architectural then 1 else 0 end) as internal_arch, count(*) as external_edges from e join n s on s.node_id = e.source_id join n t on t.node_id = e.target_id where t.rel_path <> s.rel_path group by 1 order by 3 desc, 1 limit 20",
+    f"{WITH} select s.rel_path, cast(sum(case when s.is_architectural then 1 else 0 end) as bigint) as internal_arch, count(*) as external_edges from e join n s on s.node_id = e.source_id join n t on t.node_id = e.target_id where t.rel_path <> s.rel_path group by 1 order by 3 desc, 1 limit 20",
 )
 def god_files(s, d):
     return G.god_files(*_g(s, d), 20)
@@ -324,7 +324,7 @@ def edge_weights(s, d):
 
 @query(
     "edge_weight_summary",
-    f"{WITH}, {_IN}, {_WEIGHT} select count(*) as edges_weighted, sum(case when coalesce(edge_class, 'structural') in ({sql_list(S.SYNTHETIC_CLASSES)}) then 1 else 0 end) as synthetic, round(min(new_weight), 4) as min_weight, round(max(new_weight), 4) as max_weight, round(avg(new_weight), 4) as mean_weight from w",
+    f"{WITH}, {_IN}, {_WEIGHT} select count(*) as edges_weighted, cast(sum(case when coalesce(edge_class, 'structural') in ({sql_list(S.SYNTHETIC_CLASSES)}) then 1 else 0 end) as bigint) as synthetic, round(min(new_weight), 4) as min_weight, round(max(new_weight), 4) as max_weight, round(avg(new_weight), 4) as mean_weight from w",
 )
 def edge_weight_summary(s, d):
     return G.weight_summary(G.edge_weights(G.edges_view(table(s, d, "repo_edges"))))
@@ -382,7 +382,7 @@ def file_graph(s, d):
 
 @query(
     "dir_interactions",
-    f"""{WITH}, q as (select *, {DIR} as dir from n) select a.wiki_id, a.dir as from_dir, b.dir as to_dir, sum(case rel_type {" ".join(f"when '{k}' then {v}" for k, v in G.RELATION_WEIGHT.items())} else 1 end) as weight
+    f"""{WITH}, q as (select *, {DIR} as dir from n) select a.wiki_id, a.dir as from_dir, b.dir as to_dir, cast(sum(case rel_type {" ".join(f"when '{k}' then {v}" for k, v in G.RELATION_WEIGHT.items())} else 1 end) as bigint) as weight
 from e join q a on a.node_id = e.source_id join q b on b.node_id = e.target_id where a.wiki_id = b.wiki_id and a.dir <> b.dir group by 1, 2, 3""",
 )
 def dir_interactions(s, d):
@@ -406,7 +406,7 @@ def doc_clusters(s, d):
 @query(
     "dir_histogram_similarity",
     f"""{WITH}, r as (select wiki_id, macro_cluster, {DIR} as dir from n where macro_cluster is not null), h as (select wiki_id, macro_cluster, dir, count(*) as n from r group by 1, 2, 3), z as (select wiki_id, macro_cluster, count(*) as size from r group by 1, 2)
-select wiki_id, cluster_a, cluster_b, shared, round(shared / least(za.size, zb.size), 6) as similarity from (select a.wiki_id, a.macro_cluster as cluster_a, b.macro_cluster as cluster_b, sum(least(a.n, b.n)) as shared from h a join h b on a.wiki_id = b.wiki_id and a.dir = b.dir and a.macro_cluster < b.macro_cluster group by 1, 2, 3) p
+select wiki_id, cluster_a, cluster_b, shared, round(shared / least(za.size, zb.size), 6) as similarity from (select a.wiki_id, a.macro_cluster as cluster_a, b.macro_cluster as cluster_b, cast(sum(least(a.n, b.n)) as bigint) as shared from h a join h b on a.wiki_id = b.wiki_id and a.dir = b.dir and a.macro_cluster < b.macro_cluster group by 1, 2, 3) p
 join z za on za.wiki_id = p.wiki_id and za.macro_cluster = cluster_a join z zb on zb.wiki_id = p.wiki_id and zb.macro_cluster = cluster_b""".replace("select wiki_id, cluster_a, cluster_b, shared, round", "select p.wiki_id, cluster_a, cluster_b, shared, round"),
 )
 def dir_histogram_similarity(s, d):
@@ -438,7 +438,7 @@ def architectural_projection(s, d):
 @query(
     "coverage_report",
     f"""{WITH}, c as (select distinct target_id as node_id from e where rel_type = 'references'), r as (select n.wiki_id, {DIR} as dir, case when c.node_id is null then 0 else 1 end as hit from n left join c on c.node_id = n.node_id where is_architectural)
-select wiki_id, count(*) as n_symbols, sum(hit) as n_covered, round(avg(hit), 6) as ratio, count(distinct dir) as n_dirs, count(distinct case when hit = 1 then dir end) as n_dirs_covered from r group by 1""",
+select wiki_id, count(*) as n_symbols, cast(sum(hit) as bigint) as n_covered, round(avg(hit), 6) as ratio, count(distinct dir) as n_dirs, count(distinct case when hit = 1 then dir end) as n_dirs_covered from r group by 1""",
 )
 def coverage_report(s, d):
     n, e = _g(s, d)

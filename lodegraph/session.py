@@ -54,9 +54,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     kept = df.checkpoint(eager=True)
     rows = kept._jdf.queryExecution().toRdd()
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin rows over the cluster when the scan yields fewer tasks than cores (one small file)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
