@@ -201,3 +201,40 @@ def layer(kind: Column, name: Column, parent: Column, path: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """Tokens of a text by its length: one for four characters, rounded up."""
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
+
+
+# --- Names of kinds and of federated nodes --------------------------------------------------------------------------
+#: Languages and kinds of documentation by extension.
+LANGUAGE_BY_EXTENSION = {
+    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp",
+    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "kt": "kotlin", "swift": "swift", "scala": "scala", "sh": "bash", "sql": "sql",
+}
+DOC_BY_EXTENSION = {
+    "md": "markdown", "markdown": "markdown", "rst": "restructuredtext", "adoc": "asciidoc", "txt": "plaintext", "html": "html", "xml": "xml", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "ini": "config", "cfg": "config",
+    "conf": "config", "properties": "config", "gradle": "build_config", "proto": "schema", "xsd": "schema", "tf": "infrastructure", "pdf": "pdf", "docx": "document",
+}
+
+
+def _mapped(path: Column, table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[extension(path)]
+
+
+def language_by_path(path: Column) -> Column:
+    """Language that an extension names; null for others."""
+    return _mapped(path, LANGUAGE_BY_EXTENSION)
+
+
+def doc_kind(path: Column) -> Column:
+    """Kind of documentation that an extension names; null for others."""
+    return _mapped(path, DOC_BY_EXTENSION)
+
+
+def project_node_id(wiki_id: Column, node_id: Column) -> Column:
+    """Id of a node among many repositories: wiki_id::node_id."""
+    return F.concat_ws("::", wiki_id, node_id)
+
+
+def split_project_node_id(project_id: Column) -> Column:
+    """(wiki_id, node_id) of a federated id; a node id may hold '::' itself."""
+    at = F.instr(project_id, "::")
+    return F.struct(F.when(at > 0, F.substring(project_id, F.lit(1), at - 1)).alias("wiki_id"), F.when(at > 0, F.substring(project_id, at + 2, F.length(project_id))).otherwise(project_id).alias("node_id"))

@@ -67,6 +67,31 @@ def connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return per.join(lone, "wiki_id", "left").select("wiki_id", "n_nodes", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"), "n_components", "largest", F.round(F.col("largest") / F.col("n_nodes"), 6).alias("largest_share"))
 
 
+def hybrid_orphans(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, threshold: float = 0.02, top: int = 20) -> DataFrame:
+    """(source_id, target_id, score): orphans linked by shared rare name words and by vectors, ranks fused (k = 60).
+
+    A link needs `threshold`, so at least a good place in both lists; of the `top` of each list the best one is taken.
+    """
+    from pyspark.sql import Window
+
+    from lodegraph.operators.vectors import batch_nearest
+
+    lone = G.orphans(nodes, edges).select("node_id")
+    order = Window.partitionBy("source_id")
+    lexical = L.lexical_tiers(nodes, lone, top).select("source_id", "target_id", F.row_number().over(order.orderBy("tier", "target_id")).alias("rank"))
+    usable = vectors.where("embedding is not null").groupBy("node_id").agg(F.max("embedding").alias("embedding"))
+    near = batch_nearest(usable, usable.join(lone, "node_id", "left_semi"), "node_id", top).select(F.col("query").alias("source_id"), F.col("node_id").alias("target_id"), F.col("position").alias("rank"))
+    fused = lexical.unionByName(near).groupBy("source_id", "target_id").agg(F.sum(1 / (60 + F.col("rank"))).alias("score")).where(F.col("score") >= threshold)
+    return fused.withColumn("rn", F.row_number().over(order.orderBy(F.desc("score"), "target_id"))).where("rn = 1").drop("rn")
+
+
+def coverage_gaps(nodes: DataFrame, edges: DataFrame, covered: DataFrame, top: int = 20) -> DataFrame:
+    """The first `top` architectural symbols that nothing covers, by type priority, degree, id."""
+    rest = nodes.where("is_architectural and not is_doc").join(covered.select("node_id").distinct(), "node_id", "left_anti")
+    deg = G.with_degree(rest, edges).withColumn("priority", X.type_priority(F.col("symbol_type")))
+    return deg.select("node_id", "symbol_type", "priority", "degree").orderBy(F.desc("priority"), F.desc("degree"), "node_id").limit(top)
+
+
 # --- API surfaces beyond routes and names ---------------------------------------------------------------------------
 #: What marks a surface of each kind, the group that names it, and its weight.
 SURFACES = (
