@@ -1,6 +1,7 @@
 """Community detection and what is done with communities: caps, sizes, hubs, stable ids, leading symbols.
 
-Detection moves nodes of all repositories at once in DataFrame rounds, so no repository is collected into one task.
+A repository of bounded size is solved in one task; larger ones move their nodes in distributed DataFrame rounds by the
+same rule, so no large repository is collected into a task.
 Greedy steps (merging to a cap, keeping ids) run per repository on cluster-level aggregates only.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,12 +73,84 @@ def _one_level(links: DataFrame, nodes: DataFrame, rounds: int, resolution: floa
     return state
 
 
-def louvain(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, levels: int = 2, rounds: int = 6) -> DataFrame:
+def _parity(node: str) -> int:
+    return xxhash.xxh64_intdigest(node.encode(), 42) % 2  # as Spark's xxhash64
+
+
+def local_level(nodes: list[str], links: dict[tuple[str, str], float], rounds: int, resolution: float) -> dict[str, str]:
+    """`_one_level` for one small part, by the same rule."""
+    k = dict.fromkeys(nodes, 0.0)
+    out: dict[str, dict[str, float]] = {v: {} for v in nodes}
+    for (a, b), w in links.items():
+        k[a] += w
+        k[b] += w
+        if a != b:
+            out[a][b] = out[a].get(b, 0.0) + w
+            out[b][a] = out[b].get(a, 0.0) + w
+    m2 = sum(k.values()) or 1.0
+    turn = {v: _parity(v) for v in nodes}
+    state = {v: v for v in nodes}
+    for r in range(rounds):
+        tot: dict[str, float] = {}
+        for v, c in state.items():
+            tot[c] = tot.get(c, 0.0) + k[v]
+        nxt = {}
+        for v, own in state.items():
+            if turn[v] != r % 2 or not out[v]:
+                nxt[v] = own
+                continue
+            into = {own: 0.0}
+            for u, w in out[v].items():
+                into[state[u]] = into.get(state[u], 0.0) + w
+            nxt[v] = min((-round(w - resolution * k[v] * (tot[c] - (k[v] if c == own else 0.0)) / m2, 9), c != own, c) for c, w in into.items())[2]
+        same = nxt == state
+        state = nxt
+        if r % 2 and same:
+            break
+    return state
+
+
+def _local(nodes: pd.DataFrame, links: pd.DataFrame, resolution: float, levels: int, rounds: int) -> pd.DataFrame:
+    edges: dict[tuple[str, str], float] = {}
+    for a, b, w in links[["a", "b", "w"]].itertuples(index=False):
+        edges[a, b] = edges.get((a, b), 0.0) + w
+    here = sorted(set(nodes["node"]))
+    member = {v: v for v in here}
+    for _ in range(levels):
+        state = local_level(here, edges, rounds, resolution)
+        member = {v: state[m] for v, m in member.items()}
+        merged: dict[tuple[str, str], float] = {}
+        for (a, b), w in edges.items():
+            key = (min(state[a], state[b]), max(state[a], state[b]))
+            merged[key] = merged.get(key, 0.0) + w
+        edges, here = merged, sorted(set(state.values()))
+    return pd.DataFrame({"part": nodes["part"].iloc[0] if len(nodes) else None, "node": list(member), "community": list(member.values())})
+
+
+#: Nodes and links of a part that one task may hold.
+LOCAL = 200_000
+
+
+def louvain(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, levels: int = 2, rounds: int = 6, local: int = LOCAL) -> DataFrame:
     """(part, node, community): communities of each part's undirected weighted graph by modularity, level by level.
 
     `nodes` has part and node, `links` part, a, b, w (a <= b, one row a pair). Nodes without links are communities of
-    their own. The result depends on the input alone, not on its order.
+    their own. The result depends on the input alone, not on its order. Parts of at most `local` nodes and links are
+    solved in a task each; larger ones by distributed rounds of the same rule.
     """
+    sizes = nodes.select("part").unionByName(links.select("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    large = cut_lineage(sizes.where(F.col("n") > local).select("part"))
+
+    def solve(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        return _local(n, e, resolution, levels, rounds)
+
+    small = nodes.join(large, "part", "left_anti").groupBy("part").cogroup(links.join(large, "part", "left_anti").groupBy("part")).applyInPandas(solve, "part string, node string, community string")
+    if large.isEmpty():
+        return small
+    return small.unionByName(_distributed(nodes.join(large, "part", "left_semi"), links.join(large, "part", "left_semi"), resolution, levels, rounds))
+
+
+def _distributed(nodes: DataFrame, links: DataFrame, resolution: float, levels: int, rounds: int) -> DataFrame:
     member = nodes.select("part", "node", F.col("node").alias("community"))
     here, edges = nodes.select("part", "node"), links
     for _ in range(levels):

@@ -111,6 +111,22 @@ def test_two_cliques(spark):
     assert numbers["lone"] == 2 and len(set(numbers.values())) == 3
 
 
+def test_local_and_distributed_communities_agree(spark):
+    rnd = random.Random(5)
+    pairs = {}
+    for p in ("p", "q"):
+        for _ in range(60):
+            g = rnd.randrange(3)
+            a, b = (f"n{g}{rnd.randrange(8)}" for _ in range(2))
+            if rnd.random() < 0.1:
+                b = f"n{rnd.randrange(3)}{rnd.randrange(8)}"
+            pairs[p, min(a, b), max(a, b)] = float(rnd.randint(1, 3))
+    links = spark.createDataFrame([(p, a, b, w) for (p, a, b), w in pairs.items() if a != b], "part string, a string, b string, w double")
+    nodes = spark.createDataFrame([(p, f"n{g}{i}") for p in ("p", "q") for g in range(3) for i in range(8)], "part string, node string")
+    got = [{(r.part, r.node): r.community for r in C.louvain(nodes, links, local=n).collect()} for n in (10_000, 0)]
+    assert got[0] == got[1] and len(got[0]) == 48
+
+
 def test_merge_and_stable_ids():
     import pandas as pd
 
@@ -165,3 +181,48 @@ def test_streaming_diff(spark, tmp_path):
     diff.start(spark.readStream.schema(schema).parquet(src), store).awaitTermination(60)
     got = {(r.epoch, r.node_id, r.kind) for r in spark.read.parquet(f"{store}/changes").collect()}
     assert got == {(0, "a", "added"), (0, "b", "added"), (1, "a", "modified"), (1, "c", "added")}
+
+
+def test_bundle_round_trip(spark, tmp_path, data):
+    from lodegraph.sources.bundles import read_bundle, write_bundle
+
+    nodes, links = spark.read.parquet(f"{data}/repo_nodes.parquet"), spark.read.parquet(f"{data}/repo_edges.parquet")
+    for form in ("parquet", "json"):
+        write_bundle(nodes, links, str(tmp_path / form), form)
+        n, e = read_bundle(spark, str(tmp_path / form))
+        assert n.count() == nodes.count() and e.select("id", "target_id", "weight").exceptAll(links.select("id", "target_id", "weight")).count() == 0
+    (tmp_path / "old" / "manifest").mkdir(parents=True)
+    (tmp_path / "old" / "manifest" / "a.json").write_text('{"version": 99, "form": "json"}')
+    with pytest.raises(ValueError):
+        read_bundle(spark, str(tmp_path / "old"))
+
+
+def test_sources(spark, tmp_path):
+    from lodegraph.sources.files import SOURCES, working_tree
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("x = 1")
+    (tmp_path / "b.md").write_text("# b")
+    got = {r.rel_path: r.text for r in working_tree(spark, str(tmp_path), include=["*.py"]).collect()}
+    assert got == {"src/a.py": "x = 1"} and "git" in SOURCES.names()
+    with pytest.raises(KeyError):
+        SOURCES.create("nope", spark, "x")
+
+
+def test_facade(spark, data):
+    from lodegraph.api import CodeGraph
+
+    g = CodeGraph(spark, data)
+    assert g.query("type:class limit:3").count() == 3 and g.query("classes in src/").count() > 0
+    assert g.search("cache OR ledger", 5).count() <= 5 and g.stats().count() > 5 and g.files("*.py").count() > 0
+    top = g.god_nodes(1).first().node_id
+    assert g.expand([top]).count() >= 0 and g.relationships(top).count() > 0 and g.code(top).count() == 1
+    assert g.resolve([top]).first().node_id == top
+
+
+def test_project_ids(spark):
+    from lodegraph.functions import scalars as X
+
+    d = spark.createDataFrame([("w", "python::a::b")], "w string, n string").select(X.project_node_id(F.col("w"), F.col("n")).alias("p"))
+    r = d.select(X.split_project_node_id(F.col("p")).alias("s"), X.language_by_path(F.lit("x/y.py")).alias("l"), X.doc_kind(F.lit("y.md")).alias("k")).first()
+    assert (r.s.wiki_id, r.s.node_id, r.l, r.k) == ("w", "python::a::b", "python", "markdown")
