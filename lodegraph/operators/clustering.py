@@ -138,6 +138,8 @@ def louvain(nodes: DataFrame, links: DataFrame, resolution: float = 1.0, levels:
     their own. The result depends on the input alone, not on its order. Parts of at most `local` nodes and links are
     solved in a task each; larger ones by distributed rounds of the same rule.
     """
+    nodes = nodes.select("part", "node").toDF("part", "node")  # fresh columns: both sides may stem from one table
+    links = links.select("part", "a", "b", "w").toDF("part", "a", "b", "w")
     sizes = nodes.select("part").unionByName(links.select("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     large = cut_lineage(sizes.where(F.col("n") > local).select("part"))
 
