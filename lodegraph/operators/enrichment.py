@@ -98,7 +98,7 @@ SURFACES = (
     ("grpc", r"(?m)\brpc\s+(\w+)\s*\(", 0.9),
     ("graphql", r"(?m)^\s*(?:type|extend type)\s+(Query|Mutation|Subscription)\b", 0.9),
     ("ffi", r"(?:extern\s+\"C\"|@ffi|ctypes\.CDLL|JNIEXPORT)[^\n]*?\b(\w+)\s*\(", 0.9),
-    ("env", r"(?:os\.environ(?:\.get)?\(|os\.getenv\(|process\.env\.|System\.getenv\(|os\.Getenv\()[\"']?([A-Z][A-Z0-9_]+)", 0.4),
+    ("env", r"(?:os\.environ(?:\.get\(|\[)|os\.getenv\(|process\.env\.|System\.getenv\(|os\.Getenv\()[\"']?([A-Z][A-Z0-9_]+)", 0.4),
     ("http", r"[\"'`](/(?:[a-z0-9_-]+|\{[^}]*\}|:[a-z_]+)(?:/(?:[a-z0-9_-]+|\{[^}]*\}|:[a-z_]+))+)[\"'`]", 0.5),
     ("cli", r"add_(?:argument|option)\(\s*[\"'](--[a-z][\w-]*)", 0.4),
     ("log", r"\b(?:logger|log|LOG)\.(?:info|Printf)\([\"'](\w+)", 0.1),
