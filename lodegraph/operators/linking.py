@@ -182,7 +182,7 @@ def repository_features(nodes: DataFrame, top: int = 200) -> DataFrame:
 def relatedness(features: DataFrame, pairs: DataFrame) -> DataFrame:
     """Score of repository pairs: 0.30 languages + 0.20 deps + 0.30 api overlap + 0.20 names; 0 without a common language or api.
 
-    `pairs` has wiki_a and wiki_b; repositories are few, and only the pairs asked for are scored.
+    `pairs` has wiki_a and wiki_b; only the pairs asked for are scored.
     """
     side = lambda s: features.select(*[F.col(c).alias(f"{c}_{s}") for c in ("wiki_id", "languages", "deps", "apis", "names")])
     rows = pairs.join(side("a"), F.col("wiki_a") == F.col("wiki_id_a")).join(side("b"), F.col("wiki_b") == F.col("wiki_id_b"))
@@ -195,10 +195,15 @@ def relatedness(features: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("wiki_a", "wiki_b", F.round(score, 6).alias("score"), F.round(lang, 6).alias("lang"), F.round(dep, 6).alias("dep"), F.round(api, 6).alias("api"), F.round(naming, 6).alias("naming"))
 
 
-def pairs_by_language(features: DataFrame, most: int = 50) -> DataFrame:
-    """Repository pairs (wiki_a < wiki_b) of the first `most` repositories of a project, in order of their ids."""
-    first = features.select("wiki_id").orderBy("wiki_id").limit(most)
-    return first.select(F.col("wiki_id").alias("wiki_a")).join(F.broadcast(first.select(F.col("wiki_id").alias("wiki_b"))), F.col("wiki_a") < F.col("wiki_b"))
+def repository_pairs(features: DataFrame) -> DataFrame:
+    """Every repository pair (wiki_a < wiki_b) of the federation: as many rows as the scores asked for."""
+    ids = features.select("wiki_id")
+    return ids.select(F.col("wiki_id").alias("wiki_a")).join(F.broadcast(ids.select(F.col("wiki_id").alias("wiki_b"))), F.col("wiki_a") < F.col("wiki_b"))
+
+
+def linked_pairs(links: DataFrame) -> DataFrame:
+    """The repository pairs (wiki_a < wiki_b) that occur among links: the only ones whose score a link needs."""
+    return links.where("wiki_a <> wiki_b").select(F.least("wiki_a", "wiki_b").alias("wiki_a"), F.greatest("wiki_a", "wiki_b").alias("wiki_b")).distinct()
 
 
 def cross_repository(links: DataFrame, scores: DataFrame, least: float = 0.15, damping: float = 0.7) -> DataFrame:

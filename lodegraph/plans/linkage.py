@@ -139,14 +139,11 @@ from ft a join ft b on a.wiki_id < b.wiki_id where a.wiki_id in (select wiki_id
 sc as (select wiki_a, wiki_b, round(case when overlap then least(1.0, 0.30 * lang + 0.20 * dep + 0.30 * api + 0.20 * naming) else 0 end, 6) as score, round(lang, 6) as lang, round(dep, 6) as dep, round(api, 6) as api, round(naming, 6) as naming from rl)"""
 
 
-def _scores(s, d):
-    f = L.repository_features(_n(s, d))
-    return L.relatedness(f, L.pairs_by_language(f))
-
-
 @query("repository_relatedness", f"{WITH}, {_FEAT}, {_REL} select * from sc")
 def repository_relatedness(s, d):
-    return _scores(s, d)
+    """Scores of all repository pairs. The SQL keeps to the first 50 repositories, so it tells less where there are more."""
+    f = L.repository_features(_n(s, d))
+    return L.relatedness(f, L.repository_pairs(f))
 
 
 @query(
@@ -154,8 +151,10 @@ def repository_relatedness(s, d):
     f"{WITH}, {_SURF}, {_LINKS}, {_FEAT}, {_REL} select source_id, target_id, round(max(greatest(0.0, least(1.0, weight * 0.7 * score))), 6) as weight, 'cross_repo' as edge_class from lk join sc on sc.wiki_a = least(lk.wiki_a, lk.wiki_b) and sc.wiki_b = greatest(lk.wiki_a, lk.wiki_b) where lk.wiki_a <> lk.wiki_b and score >= 0.15 group by 1, 2",
 )
 def cross_repository_edges(s, d):
-    links = L.surface_links(L.name_surfaces(_n(s, d)), other_language=False, other_repository=True)
-    return L.cross_repository(links, _scores(s, d))
+    """Links between all related repositories. The SQL keeps to the first 50 repositories, so it tells less where there are more."""
+    n = _n(s, d)
+    links = L.surface_links(L.name_surfaces(n), other_language=False, other_repository=True)
+    return L.cross_repository(links, L.relatedness(L.repository_features(n), L.linked_pairs(links)))
 
 
 @query("project_references", f"{WITH} select p.project_id, p.node_id, count(distinct e.id) as n_edges, count(distinct e.wiki_id) as n_repositories from project_nodes p left join e on e.target_id = p.node_id group by 1, 2")

@@ -37,6 +37,15 @@ def test_surface_links(spark):
     assert left == {("a", "b", "GET /u"), ("a", "c", "* /u"), ("a", "d", "* /z")}
 
 
+def test_all_repositories_are_scored(spark):
+    rows = [{"node_id": f"n{i}", "wiki_id": f"w{i:02}", "symbol_name": "SharedName" if i > 57 else f"Name{i}", "symbol_type": "class", "language": "python", "rel_path": f"src/n{i}.py"} for i in range(60)]
+    n = nodes(spark, rows)
+    f = L.repository_features(n)
+    assert {(r.wiki_a, r.wiki_b) for r in L.relatedness(f, L.repository_pairs(f)).collect()} == {(f"w{a:02}", f"w{b:02}") for a in range(60) for b in range(a + 1, 60)}
+    links = L.surface_links(L.name_surfaces(n), other_language=False, other_repository=True)
+    assert {(r.source_id, r.target_id) for r in L.cross_repository(links, L.relatedness(f, L.linked_pairs(links))).collect()} == {("n58", "n59")}
+
+
 def test_references(spark):
     n = nodes(spark, [{"node_id": "1", "symbol_name": "Loader", "symbol_type": "class", "rel_path": "src/io/loader.py"}, {"node_id": "2", "symbol_type": "module", "rel_path": "src/io/loader.py"}])
     docs = spark.createDataFrame([(1, "see `pkg.Loader` and `Loader`, also [file](../io/loader.py#x) and `io/loader.py`"), (2, None)], "doc_key int, text string").where("text is not null")
