@@ -141,17 +141,30 @@ def http_path(path):
     return F.when(cut == "", "/").otherwise(cut)
 
 
-def surface_links(surfaces: DataFrame, other_language: bool = True, other_repository: bool = False, most: int = 50) -> DataFrame:
+#: Rows of a group that one task pairs with the whole group.
+BLOCK = 1000
+
+
+def group_pairs(left: DataFrame, right: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """`left` joined to `right` on `keys`. `sizes` has the keys and n, the rows of a group; only groups it has are joined.
+
+    The left rows of a group are spread over blocks of about BLOCK rows and the right ones copied to each block, so the
+    pairs of a large group are made by many tasks.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    spread = left.join(sizes, keys).withColumn("_block", F.pmod(F.xxhash64(*left.columns), blocks).cast("int"))
+    copies = right.join(sizes, keys).withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n")
+    return spread.join(copies, [*keys, "_block"]).drop("_block")
+
+
+def surface_links(surfaces: DataFrame, other_language: bool = True, other_repository: bool = False) -> DataFrame:
     """Pairs of nodes with the same surface, weighted by how few share it: clamp(0.7 * mean hint * locality / ln(1 + n)).
 
-    A surface that more than `most` nodes share says nothing (its weight is at the floor) and is left to
-    `shared_surfaces`, which keeps one row a node, so no pairs are made within a large group.
+    Every pair is a link, however many nodes share the surface; `shared_surfaces` counts them.
     """
-    n = surfaces.groupBy("kind", "surface").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most))
-    rows = surfaces.join(n, ["kind", "surface"])
-    a = rows.select("kind", "surface", "n", *[F.col(c).alias(f"a_{c}") for c in ("node_id", "language", "wiki_id", "rel_path", "weight_hint")])
-    b = rows.select("kind", "surface", *[F.col(c).alias(f"b_{c}") for c in ("node_id", "language", "wiki_id", "rel_path", "weight_hint")])
-    pairs = a.join(b, ["kind", "surface"]).where("a_node_id < b_node_id")
+    n = surfaces.groupBy("kind", "surface").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    side = lambda s: surfaces.select("kind", "surface", *[F.col(c).alias(f"{s}_{c}") for c in ("node_id", "language", "wiki_id", "rel_path", "weight_hint")])
+    pairs = group_pairs(side("a"), side("b"), ["kind", "surface"], n).where("a_node_id < b_node_id")
     if other_language:
         pairs = pairs.where("a_language <> b_language")
     if other_repository:

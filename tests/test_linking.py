@@ -37,6 +37,17 @@ def test_surface_links(spark):
     assert left == {("a", "b", "GET /u"), ("a", "c", "* /u"), ("a", "d", "* /z")}
 
 
+def test_links_of_a_surface_that_many_share(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 7)
+    rows = [(f"n{i:02}", "v" if i % 3 else "w", "py" if i % 2 else "js", f"x/n{i}", "name", "init", 0.3) for i in range(60)]
+    s = spark.createDataFrame(rows, "node_id string, wiki_id string, language string, rel_path string, kind string, surface string, weight_hint double")
+    pairs = [(a, b) for a in rows for b in rows if a[0] < b[0]]
+    made = lambda *how: sorted((r.source_id, r.target_id) for r in L.surface_links(s, *how).collect())
+    assert made(False) == sorted((a[0], b[0]) for a, b in pairs)
+    assert made(True) == sorted((a[0], b[0]) for a, b in pairs if a[2] != b[2])
+    assert made(False, True) == sorted((a[0], b[0]) for a, b in pairs if a[1] != b[1])
+
+
 def test_all_repositories_are_scored(spark):
     rows = [{"node_id": f"n{i}", "wiki_id": f"w{i:02}", "symbol_name": "SharedName" if i > 57 else f"Name{i}", "symbol_type": "class", "language": "python", "rel_path": f"src/n{i}.py"} for i in range(60)]
     n = nodes(spark, rows)
