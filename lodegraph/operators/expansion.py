@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph import schema as S
 from lodegraph.functions import scalars as X
+from lodegraph.operators import linking as L
 
 _CLASSES = ("class", "interface", "struct", "enum", "trait")
 #: What is followed from a symbol of a type: (types, relations, direction, at most, reason).
@@ -123,6 +124,13 @@ def rank_documents(nodes: DataFrame, edges: DataFrame, topic: str, folders: list
 
 
 # --- Pages and links ------------------------------------------------------------------------------------------------
+def cocited(links: DataFrame) -> DataFrame:
+    """(page_a, page_b, n_shared): pages with common link targets. `links` has source and target, one row a pair."""
+    n = links.groupBy("target").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    side = lambda name: links.select("target", F.col("source").alias(name))
+    return L.group_pairs(side("page_a"), side("page_b"), ["target"], n).where("page_a < page_b").groupBy("page_a", "page_b").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
 def rerank_pages(hits: DataFrame, links: DataFrame, n_pages: DataFrame) -> DataFrame:
     """(page, score): base * (1 + centrality + density) * relevance.
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodegraph import schema as S
 from lodegraph.operators import enrichment as R
+from lodegraph.operators import expansion as E
 from lodegraph.operators import graph as G
 from lodegraph.operators import linking as L
 from tests.test_graph import edges
@@ -48,6 +49,12 @@ def test_links_of_a_surface_that_many_share(spark, monkeypatch):
     assert made(False, True) == sorted((a[0], b[0]) for a, b in pairs if a[1] != b[1])
 
 
+def test_pages_of_a_target_that_many_share(spark):
+    k = spark.createDataFrame([(i, "hot/read.me") for i in range(60)] + [(i, "a/b.py") for i in (3, 57)] + [(9, "only/one.py")], "source long, target string")
+    got = {(r.page_a, r.page_b): r.n_shared for r in E.cocited(k).collect()}
+    assert got == {(a, b): 2 if (a, b) == (3, 57) else 1 for a in range(60) for b in range(a + 1, 60)}
+
+
 def test_all_repositories_are_scored(spark):
     rows = [{"node_id": f"n{i}", "wiki_id": f"w{i:02}", "symbol_name": "SharedName" if i > 57 else f"Name{i}", "symbol_type": "class", "language": "python", "rel_path": f"src/n{i}.py"} for i in range(60)]
     n = nodes(spark, rows)
