@@ -3,7 +3,7 @@
 Texts and passages are brought to plain words (markup, case, layout, look-alike characters and soft breaks undone).
 Word trigrams of the passages are the seeds. One pass over all documents counts in how many each seed occurs; a second
 joins documents to items by seeds that are rare for the item, and scores each such pair by Smith-Waterman alignment of
-words. Both passes are map-side: what leaves a task is counts of the seeds of the items, and the results.
+words, however large the corpus is and whatever else of the item is in it. Both passes are map-side: what leaves a task is counts of the seeds of the items, and the results.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,8 @@ from lodegraph.llm.batches import spread
 
 #: Share of a passage's words that must align; seeds of an item count as rare up to this quantile of their frequencies.
 SHARE, RARE = 0.5, 0.8
-#: Share of an item's seed weight that a document must hold before the pair is aligned, and distinct seeds at least.
-EVIDENCE, LEAST_SEEDS = 0.06, 2
+#: Distinct seeds rare for the item that a document must hold before the pair is aligned.
+LEAST_SEEDS = 2
 #: Alignment: scores of a match, a mismatch and a gap word, so that a stretch needs well over half of its words (sentences of one template don't align);
 #: stretches taken together, and matches that a later stretch must have.
 MATCH, MISMATCH, GAP = 2, -3, -2
@@ -107,18 +108,17 @@ def build_seeds(passages: list[tuple[int, str]]) -> Seeds:
     return Seeds(vocab, items, unique, seed[order], (np.concatenate(owners) if owners else np.empty(0, int))[order])
 
 
-def weights(seeds: Seeds, df: np.ndarray, n_docs: int) -> np.ndarray:
-    """Weight of each (seed, item) pair: rarity in the corpus; 0 for the seeds that are common for their item.
+def rare_seeds(seeds: Seeds, df: np.ndarray) -> np.ndarray:
+    """Whether the seed of each (seed, item) pair is rare: not among the most frequent ones of its item.
 
     What is common is judged within the item, so an item that leaked into a third of all documents keeps its seeds.
     """
-    w = np.log((n_docs + 1) / np.maximum(df, 1)) + 1e-3
-    out = w[seeds.pair_seed].copy()
+    out = np.zeros(len(seeds.pair_seed), bool)
     for k in range(len(seeds.items)):
         own = seeds.pair_item == k
         if own.any():
             freq = df[seeds.pair_seed[own]]
-            out[own] = np.where(freq <= np.quantile(freq, RARE), out[own], 0)
+            out[own] = freq <= np.quantile(freq, RARE)
     return out
 
 
@@ -178,7 +178,7 @@ def near(doc: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
     return doc[np.cumsum(edge)[:-1] > 0]
 
 
-def leaks_of(text: str, seeds: Seeds, weight: np.ndarray, whole: np.ndarray) -> list[tuple[int, int, int]]:
+def leaks_of(text: str, seeds: Seeds, rare: np.ndarray) -> list[tuple[int, int, int]]:
     """(item_id, matched words, words of the item) for each item that leaked into the text; counting ends at the share."""
     ids = seeds.encode(text)
     hit, at = seeds.hits(ids)
@@ -187,14 +187,17 @@ def leaks_of(text: str, seeds: Seeds, weight: np.ndarray, whole: np.ndarray) ->
     found = np.unique(hit)
     lo, hi = np.searchsorted(seeds.pair_seed, found), np.searchsorted(seeds.pair_seed, found, "right")
     pairs = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
-    score = np.bincount(seeds.pair_item[pairs], weight[pairs], len(seeds.items))
-    many = np.bincount(seeds.pair_item[pairs], weight[pairs] > 0, len(seeds.items))
+    many = np.bincount(seeds.pair_item[pairs], rare[pairs], len(seeds.items))
     out = []
-    for k in np.flatnonzero((score >= EVIDENCE * whole) & (many >= LEAST_SEEDS)):
+    for k in np.flatnonzero(many >= LEAST_SEEDS):
         item, passage = seeds.items[k]
         own = np.isin(hit, seeds.pair_seed[pairs[seeds.pair_item[pairs] == k]])
-        n = matched_words(passage, near(ids, at[own], 2 * len(passage)), SHARE * len(passage))
-        if n >= SHARE * len(passage):
+        window, need = near(ids, at[own], 2 * len(passage)), SHARE * len(passage)
+        # No alignment matches more words than both sides have in common, so nothing is lost by not aligning the rest.
+        if (Counter(passage.tolist()) & Counter(window.tolist())).total() < need:
+            continue
+        n = matched_words(passage, window, need)
+        if n >= need:
             out.append((item, n, len(passage)))
     return out
 
@@ -211,17 +214,16 @@ def find_leaks(docs: DataFrame, evals: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bare = docs.where("text is not null").select("doc_id", "text")
-    n_docs = bare.count()
     rows = sorted({(r.item_id, r.passage) for r in evals.where("passage is not null").select("item_id", "passage").toLocalIterator()})
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint, matched_words int, item_words int")
     spread_docs = spread(bare)
     for at in range(0, len(rows), BLOCK):
         seeds = spark.sparkContext.broadcast(build_seeds(rows[at : at + BLOCK]))
-        out = out.unionByName(_block(spread_docs, seeds, n_docs))
+        out = out.unionByName(_block(spread_docs, seeds))
     return out.groupBy("doc_id", "item_id").agg(F.max("matched_words").alias("matched_words"), F.max("item_words").alias("item_words"))
 
 
-def _block(docs: DataFrame, seeds, n_docs: int) -> DataFrame:
+def _block(docs: DataFrame, seeds) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = seeds.value
         total = np.zeros(len(s.codes), np.int64)
@@ -235,14 +237,12 @@ def _block(docs: DataFrame, seeds, n_docs: int) -> DataFrame:
     df = np.zeros(max(1, len(seeds.value.codes)), np.int64)
     for r in docs.mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect():
         df[r.seed] = r.n
-    weight = weights(seeds.value, df, n_docs)
-    whole = np.bincount(seeds.value.pair_item, weight, len(seeds.value.items))
-    scale = docs.sparkSession.sparkContext.broadcast((weight, whole))
+    rare = docs.sparkSession.sparkContext.broadcast(rare_seeds(seeds.value, df))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, (w, all_of) = seeds.value, scale.value
+        s, r = seeds.value, rare.value
         for batch in batches:
-            got = [(d, *x) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for x in leaks_of(t, s, w, all_of)]
+            got = [(d, *x) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for x in leaks_of(t, s, r)]
             cols = list(zip(*got)) if got else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, FOUND)], schema=FOUND)
 

@@ -134,6 +134,15 @@ def test_leaks(spark):
     assert K.find_leaks(d.limit(0), e).count() == 0 and K.find_leaks(d, e.limit(0)).count() == 0
 
 
+def test_leak_into_every_document(spark):
+    rnd = random.Random(11)
+    items = [(i, passage(rnd, 80)) for i in range(3)]
+    half = items[0][1].split()[:46]
+    docs = [(i, f"intro number {i} " + " ".join("changed" if k == i % 40 + 3 else x for k, x in enumerate(half))) for i in range(40)]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    assert {(r.doc_id, r.item_id) for r in K.find_leaks(d, e).collect()} == {(i, 0) for i in range(40)}
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
