@@ -130,20 +130,27 @@ def page_search(s, d):
 
 
 # --- Markdown -------------------------------------------------------------------------------------------------------
+def _is_markdown():
+    """Texts of Markdown sources, and those of any source that have a heading; all other texts are plain."""
+    return F.coalesce(F.col("source").isin("readme", "wiki_page", "design_note"), F.lit(False)) | (F.size(M.headings(F.col("text"))) > 0)
+
+
 @query("markdown_chunks")
 def markdown_chunks(s, d):
-    docs = table(s, d, "documents").where(F.col("source").isin("readme", "wiki_page", "design_note"))
+    docs = table(s, d, "documents").where("text is not null").where(_is_markdown())
     return M.chunks(docs, "doc_id", "text")
 
 
 @query("plain_chunks")
 def plain_chunks(s, d):
-    return M.chunks(table(s, d, "documents").where("source = 'commit_log'"), "doc_id", "text", plain=True)
+    docs = table(s, d, "documents").where("text is not null").where(~_is_markdown())
+    return M.chunks(docs, "doc_id", "text", plain=True)
 
 
 @query("markdown_headings", "select doc_id, len(regexp_extract_all(text, '(?m)^(#{1,6}[ \\t]+[^\\n]+?)[ \\t]*$', 1)) as n_headings from documents where text is not null and not contains(text, '```') and not contains(text, '~~~')")
 def markdown_headings(s, d):
-    docs = table(s, d, "documents").where("text is not null and not contains(text, '```') and not contains(text, '~~~')")
+    """Headings of all texts. The SQL can't tell fences and leaves out the texts that have any."""
+    docs = table(s, d, "documents").where("text is not null")
     return docs.select("doc_id", F.size(M.headings(F.col("text"))).cast("long").alias("n_headings"))
 
 

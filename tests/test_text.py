@@ -7,6 +7,7 @@ from lodegraph.functions import scalars as X
 from lodegraph.operators import fusion as Z
 from lodegraph.operators import text as T
 from lodegraph.operators import vectors as V
+from lodegraph.plans import context
 
 
 def docs(spark):
@@ -70,3 +71,12 @@ def test_markdown(spark):
     t = "---\ntitle: \"A page\"\n---\n# H\n\nFirst words [x](a.md#b) [[Other|label]] `[no](no.md)`\n"
     r = spark.createDataFrame([(t,)], "t string").select(M.front_value(F.col("t"), "title").alias("f"), M.links(F.col("t")).alias("l"), M.wikilinks(F.col("t")).alias("w"), M.first_paragraph(F.col("t")).alias("p")).first()
     assert r.f == "A page" and r.l == ["a.md#b"] and r.w == ["Other"] and r.p.startswith("First words")
+
+
+def test_all_documents_have_headings_and_chunks(spark, tmp_path):
+    fenced = "# One\n```sh\n# no heading\n```\n## Two\n~~~\n## none\n~~~\ntext"
+    rows = [(1, "readme", "no heading"), (2, "confluence", fenced), (3, "jira", "plain"), (4, "qa_answer", "answer"), (5, "commit_log", "fix"), (6, None, "lost"), (7, "changelog", "# News\nold"), (8, "jira", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_headings for r in context.markdown_headings(spark, str(tmp_path)).collect()} == {1: 0, 2: 2, 3: 0, 4: 0, 5: 0, 6: 0, 7: 1}
+    assert sorted((r.doc_id, r.heading) for r in context.markdown_chunks(spark, str(tmp_path)).collect()) == [(1, ""), (2, "One"), (2, "Two"), (7, "News")]
+    assert sorted(r.doc_id for r in context.plain_chunks(spark, str(tmp_path)).collect()) == [3, 4, 5, 6]
