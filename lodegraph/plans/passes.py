@@ -62,7 +62,8 @@ def edge_resolution(s, d):
 
 @query("text_surfaces", f"{WITH} select node_id, surface from (select node_id, unnest(list_distinct(regexp_extract_all(source_text, '\\b(?:logger|log|LOG)\\.(?:info|Printf)\\([\"''](\\w+)', 1))) as surface from n where source_text is not null)")
 def text_surfaces(s, d):
-    return R.text_surfaces(G.nodes_view(table(s, d, "repo_nodes"), "source_text")).where("kind = 'log'").select("node_id", "surface")
+    """Surfaces of all kinds, a row a kind. The SQL has those of logs only."""
+    return R.text_surfaces(G.nodes_view(table(s, d, "repo_nodes"), "source_text")).select("node_id", "surface")
 
 
 @query("object_shapes")

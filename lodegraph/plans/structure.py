@@ -126,8 +126,11 @@ def source_file_filters(s, d):
     f"{WITH}, old as (select node_id, rel_path, symbol_name from n where abs(coalesce(start_line, 0)) % 3 <> 0), new as (select node_id, rel_path || '.new' as rel_path, symbol_name from n where abs(coalesce(start_line, 0)) % 2 = 0) select * from new union all select * from old where node_id not in (select node_id from new)",
 )
 def write_node_upsert(s, d):
-    n = _n(s, d).select("node_id", "rel_path", "symbol_name", F.abs(F.coalesce("start_line", F.lit(0))).alias("k"))
-    old, new = n.where("k % 3 <> 0").drop("k"), n.where("k % 2 = 0").select("node_id", F.concat("rel_path", F.lit(".new")).alias("rel_path"), "symbol_name")
+    """All nodes, with the newest change of each that isn't a deletion written over them. The SQL upserts made-up subsets of the nodes instead."""
+    old = _n(s, d).select("node_id", "rel_path", "symbol_name")
+    changes = table(s, d, "node_changes").where("node_id is not null and change_kind <> 'deleted'")
+    last = W.last_wins(changes.withColumn("at", F.struct("changed_at", "change_id")), ["node_id"], "at").select("node_id", F.col("rel_path").alias("new_path"))
+    new = last.join(old, "node_id", "left").select("node_id", F.coalesce("new_path", "rel_path").alias("rel_path"), "symbol_name")
     return W.upsert(old, new, ["node_id"])
 
 

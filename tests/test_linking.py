@@ -1,5 +1,7 @@
 """Linking passes on small fixtures."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from lodegraph import schema as S
@@ -7,6 +9,7 @@ from lodegraph.operators import enrichment as R
 from lodegraph.operators import expansion as E
 from lodegraph.operators import graph as G
 from lodegraph.operators import linking as L
+from lodegraph.plans import passes, structure
 from tests.test_graph import edges
 
 
@@ -64,6 +67,20 @@ def test_all_repositories_are_scored(spark):
     assert {(r.source_id, r.target_id) for r in L.cross_repository(links, L.relatedness(f, L.linked_pairs(links))).collect()} == {("n58", "n59")}
 
 
+def test_upsert_and_surfaces_of_all_nodes(spark, tmp_path):
+    names = [f.name for f in S.NODE_SCHEMA]
+    rows = [{"node_id": f"n{i}", "wiki_id": "w", "start_line": i, "rel_path": f"{i}.py", "symbol_name": f"s{i}"} for i in range(12)]
+    rows[3]["source_text"] = 'os.environ["TOKEN_KEY"]\nlog.info("done")\nadd_argument("--deep")'
+    spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], S.NODE_SCHEMA).write.parquet(f"{tmp_path}/repo_nodes.parquet")
+    day = lambda n: dt.datetime(2024, 1, n)
+    changes = [(1, "w", "n1", "modified", None, "old.py", day(1)), (2, "w", "n1", "moved", None, "new.py", day(2)), (3, "w", "n3", "deleted", None, "3.py", day(2)), (4, "w", "x", "added", None, "x.py", day(2)), (5, "w", "n5", "modified", None, None, day(1))]
+    spark.createDataFrame(changes, "change_id bigint, wiki_id string, node_id string, change_kind string, content_hash string, rel_path string, changed_at timestamp").write.parquet(f"{tmp_path}/node_changes.parquet")
+    want = {(f"n{i}", "new.py" if i == 1 else f"{i}.py", f"s{i}") for i in range(12)} | {("x", "x.py", None)}
+    got = structure.write_node_upsert(spark, str(tmp_path)).collect()
+    assert len(got) == 13 and {tuple(r) for r in got} == want
+    assert {r.surface for r in passes.text_surfaces(spark, str(tmp_path)).collect()} == {"TOKEN_KEY", "done", "--deep"}
+
+
 def test_references(spark):
     n = nodes(spark, [{"node_id": "1", "symbol_name": "Loader", "symbol_type": "class", "rel_path": "src/io/loader.py"}, {"node_id": "2", "symbol_type": "module", "rel_path": "src/io/loader.py"}])
     docs = spark.createDataFrame([(1, "see `pkg.Loader` and `Loader`, also [file](../io/loader.py#x) and `io/loader.py`"), (2, None)], "doc_key int, text string").where("text is not null")
