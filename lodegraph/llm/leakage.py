@@ -147,15 +147,15 @@ def align(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def matched_words(item: np.ndarray, doc: np.ndarray, need: float) -> int:
-    """Words of the item that align in order over at most STRETCHES stretches; counting ends when `need` is reached.
+def matched_words(item: np.ndarray, doc: np.ndarray) -> int:
+    """Words of the item that align in order over at most STRETCHES stretches.
 
     The best stretch splits item and document; what lies before both and after both is searched for further ones.
     """
     total, open_parts = 0, [(item, doc)]
     for k in range(STRETCHES):
         open_parts = [(x, y) for x, y in open_parts if min(len(x), len(y)) >= (STRETCH_WORDS if k else 1)]
-        if not open_parts or total >= need:
+        if not open_parts:
             break
         found = [align(x, y) for x, y in open_parts]
         best = max(range(len(found)), key=lambda i: len(found[i]))
@@ -179,7 +179,7 @@ def near(doc: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
 
 
 def leaks_of(text: str, seeds: Seeds, rare: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item_id, matched words, words of the item) for each item that leaked into the text; counting ends at the share."""
+    """(item_id, matched words, words of the item) for each item that leaked into the text."""
     ids = seeds.encode(text)
     hit, at = seeds.hits(ids)
     if len(hit) < LEAST_SEEDS:
@@ -196,7 +196,7 @@ def leaks_of(text: str, seeds: Seeds, rare: np.ndarray) -> list[tuple[int, int,
         # No alignment matches more words than both sides have in common, so nothing is lost by not aligning the rest.
         if (Counter(passage.tolist()) & Counter(window.tolist())).total() < need:
             continue
-        n = matched_words(passage, window, need)
+        n = matched_words(passage, window)
         if n >= need:
             out.append((item, n, len(passage)))
     return out

@@ -143,6 +143,14 @@ def test_leak_into_every_document(spark):
     assert {(r.doc_id, r.item_id) for r in K.find_leaks(d, e).collect()} == {(i, 0) for i in range(40)}
 
 
+def test_leak_in_stretches_is_counted_whole(spark):
+    text = passage(random.Random(13), 60)
+    w = text.split()
+    doc = " ".join(w[:34]) + " filler" * 50 + " " + " ".join(w[34:])
+    d, e = spark.createDataFrame([(1, doc)], "doc_id bigint, text string"), spark.createDataFrame([(1, text)], "item_id bigint, passage string")
+    assert [(r.matched_words, r.item_words) for r in K.find_leaks(d, e).collect()] == [(60, 60)]
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
