@@ -9,6 +9,7 @@ literals) and what the head comment says of the file itself complete the verdict
 
 from __future__ import annotations
 
+import io
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -98,7 +99,8 @@ def model(counts: np.ndarray) -> np.ndarray:
 def head_lines(text: str) -> list[str]:
     """The comment lines a file begins with, without their marks."""
     out = []
-    for line in text[:6000].split("\n", 40)[:40]:
+    for line in io.StringIO(text):
+        line = line.removesuffix("\n")
         s = line.strip()
         if s and not s.startswith(("//", "#", "/*", "*", "--", "<!--")):
             break

@@ -235,3 +235,9 @@ def test_very_long_text():
     assert X.language("python").check(long) is None
     assert len(C.cut([long])[0]) > 200
     assert not re.search("x", "") and P.capture(long[:100_000], True)[0] == []
+
+
+def test_statement_after_a_long_licence():
+    licence = "".join(f"// licence line {i} {'x' * 150}\n" for i in range(60))
+    head = V.head_lines(licence + "// Code generated by tool. DO NOT EDIT.\nvar a = 1;\n// later\n")
+    assert len(head) == 61 and V.GENERATED_HEAD.match(head[-1])
