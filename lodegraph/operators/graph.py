@@ -86,8 +86,9 @@ def endpoints(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source_id", "target_id")).alias("node_id"), "rel_type")
 
 
-def has_relation(nodes: DataFrame, edges: DataFrame, rel: str) -> DataFrame:
-    ends = endpoints(edges.where(F.col("rel_type").isin(edge_types([rel]))))
+def has_relation(nodes: DataFrame, edges: DataFrame, *rels: str) -> DataFrame:
+    """Nodes at which an edge of any of the types begins or ends."""
+    ends = endpoints(edges.where(F.col("rel_type").isin(edge_types(list(rels)))))
     return nodes.join(ends.select("node_id"), "node_id", "left_semi")
 
 

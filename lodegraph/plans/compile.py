@@ -24,22 +24,25 @@ def name_matches(name: Column, value: str) -> Column:
 
 
 def _compare(column: Column, op: str, value: str) -> Column:
-    n = int(value) if value.lstrip("-").isdigit() else 0
+    """The comparison; with what is no whole number nothing compares."""
+    if not value.removeprefix("-").isdecimal():
+        return F.lit(False)
+    n = int(value)
     return {">": column > n, ">=": column >= n, "<": column < n, "<=": column <= n}.get(op, column == n)
 
 
 def compile_query(query: Query | str, nodes: DataFrame, edges: DataFrame, strict: bool = True) -> DataFrame:
     """Matching nodes with their degree, most connected first, ties by node id, cut at the query's limit.
 
-    Filters come before the limit. With `related:` the relation of `has_rel:` restricts the walk; alone it asks for an
-    edge of that type at the node. With strict=False an OR in the text makes the index clauses alternatives.
+    Filters come before the limit. With `related:` the relations of `has_rel:` restrict the walk; alone they ask for
+    an edge of any of the types at the node. With strict=False an OR in the text makes the index clauses alternatives.
     """
     q = parse_jql(query) if isinstance(query, str) else query
     tests: list[Column] = []
     if q.types:
         tests.append(F.col("symbol_type").isin(q.types))
-    if q.first("layer"):
-        tests.append(X.layer(F.col("symbol_type"), F.coalesce("symbol_name", F.lit("")), F.col("parent_symbol"), F.col("rel_path")) == q.first("layer"))
+    if q.layer:
+        tests.append(X.layer(F.col("symbol_type"), F.coalesce("symbol_name", F.lit("")), F.col("parent_symbol"), F.col("rel_path")) == q.layer)
     tests += [X.matches_path(F.col("rel_path"), v) for v in q.values("file")[:1]]
     tests += [name_matches(F.col("symbol_name"), v) for v in q.values("name")[:1]]
     if q.text:
@@ -52,13 +55,13 @@ def compile_query(query: Query | str, nodes: DataFrame, edges: DataFrame, strict
         else:
             for t in tests:
                 got = got.where(t)
-    related, relation = q.first("related"), q.first("has_rel")
+    related, relations = q.first("related"), q.relations
     if related:
         anchor = nodes.where(F.lower("symbol_name") == related.lower()).select("node_id")
-        used = edges if not relation else edges.where(F.col("rel_type").isin(G.edge_types([relation])))
+        used = edges.where(F.col("rel_type").isin(G.edge_types(relations))) if relations else edges
         got = got.join(reach(used, anchor, HOPS, q.direction).select("node_id").distinct(), "node_id", "left_semi")
-    elif relation:
-        got = G.has_relation(got, edges, relation)
+    elif relations:
+        got = G.has_relation(got, edges, *relations)
     got = G.with_degree(got, edges)
     for c in q.connections:
         got = got.where(_compare(F.col("degree"), c.op, c.value))

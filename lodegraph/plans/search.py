@@ -81,6 +81,22 @@ def jql_has_rel(s, d):
     return _jql(s, d, "has_rel:constructs type:function limit:300")
 
 
+@query("jql_has_any_rel", f"{WITH}, {_DEG} {_OUT} where symbol_type = 'method' and n.node_id in (select unnest([source_id, target_id]) from e where rel_type in ('creates', 'constructs', 'inheritance', 'inherits', 'extends')) {_ORDER} limit 300")
+def jql_has_any_rel(s, d):
+    return _jql(s, d, "has_rel:creates has_rel:EXTENDS type:method limit:300")
+
+
+@query("jql_layer_any_case", f"{WITH}, {_DEG} {_OUT} where {LAYER_SQL} = 'core_type' and coalesce(degree, 0) >= 3 {_ORDER} limit 100")
+def jql_layer_any_case(s, d):
+    return _jql(s, d, "layer:Core_Type connections:>=3 limit:100")
+
+
+@query("jql_connections_no_number", f"{WITH}, {_DEG} {_OUT} where false")
+def jql_connections_no_number(s, d):
+    """A comparison with what is no number holds for no node."""
+    return _jql(s, d, "type:class connections:>abc")
+
+
 @query("jql_or_strict_off", f"{WITH}, {_DEG} {_OUT} where symbol_type = 'struct' or rel_path like 'tests/%' {_ORDER} limit 500")
 def jql_or_strict_off(s, d):
     return _jql(s, d, "type:struct OR file:tests limit:500", strict=False)
