@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm import docpairs, leakage, neighbours, packing, personal, provenance, splitting, syntax
 
 
+_RUN_KEY = secrets.token_bytes(32)
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The key in spark.lodegraph.pseudonymKey (hexadecimal); else one drawn for this run, so pseudonyms link within the run only."""
+    named = spark.conf.get("spark.lodegraph.pseudonymKey", None)
+    return bytes.fromhex(named) if named else _RUN_KEY
+
+
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -78,13 +89,20 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal.find_mentions(_table(spark, d, "documents")).select("doc_id", "kind", "start_at")
+    return personal.find_mentions(_table(spark, d, "documents"), pseudonym_key(spark)).where("kind <> 'date'").select("doc_id", "kind", "start_at")
 
 
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return personal.redact_documents(_table(spark, d, "documents"))
+    return personal.redact_documents(_table(spark, d, "documents"), pseudonym_key(spark))
+
+
+def p10_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Values that several documents mention, by their pseudonyms."""
+    found = personal.find_mentions(_table(spark, d, "documents"), pseudonym_key(spark))
+    digits = F.when(F.col("kind") == "phone", F.right(F.regexp_replace("pseudonym", r"\D", ""), F.lit(9))).otherwise(F.col("pseudonym"))
+    return found.groupBy("kind", digits.alias("value")).agg(F.count_distinct("doc_id").alias("n_docs")).where("n_docs > 1").groupBy("kind").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n_docs").alias("n_docs"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted, "p10_linked": p10_linked}
 
 SQL = {"p1_found": "select distinct node_id from repo_nodes where length(source_text) > 4000"}

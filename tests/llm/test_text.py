@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodegraph.llm import formats as O
 from lodegraph.llm import leakage as K
 from lodegraph.llm import neighbours as N
 from lodegraph.llm import packing as B
@@ -183,6 +184,13 @@ CASES = [
     ("Lieferung an Juniperweg 51, Nether Quill. Adresse: Calle Juniper 173, 63892 Villaseca Norte", [("address", "Juniperweg 51, Nether Quill"), ("address", "Calle Juniper 173, 63892 Villaseca Norte")]),
     ("Upgrade to commit@3.36.6, path template@noisy/x, Range 100-232-3262, run 4411-8530-69, 192.0.2.152:2302, Use `@route.bundle`", []),
     ("Order 945 interval Street view tiles. Cold Tensor is the code name. The Cluster Secret team owns port 7395.", []),
+    ("Thanks to Apache Spark we ask Redis Cluster, call Great Expectations and ping Visual Studio. Contact: Service Desk. Built by Cold Tensor.", []),
+    ("Maria Keller fixed the bug after Dr. John Smith and Frau Zorka Plim saw it.", [("name", "Maria Keller"), ("name", "John Smith"), ("name", "Zorka Plim")]),
+    ("Account DE89 3704 0044 0532 0130 00, not DE88 3704 0044 0532 0130 00", [("id_number", "DE89 3704 0044 0532 0130 00")]),
+    ("card 4111 1111 1111 1111 paid, ticket 4111 1111 1111 1112 closed", [("id_number", "4111 1111 1111 1111")]),
+    ("ssn 000-00-0000, 999-99-9999, passport 1, SSN: 123-00-4567, 943-24-4325", [("id_number", "943-24-4325")]),
+    ("born on 29.02.1984, date of birth: 31.02.1990, released 2024-01-05", [("date", "29.02.1984")]),
+    ("call +1 112 555 0100 or (112) 555-0100, never 0000 000 000", []),
 ]
 
 
@@ -194,26 +202,65 @@ def test_mentions(text, want):
 @given(st.text(max_size=200))
 @settings(deadline=None)
 def test_any_text_redacts(text):
-    out, found = P.redact(text, b"k")
-    assert all(a < b for a, b, _ in found) and (found or out == text)
+    out, found = P.redact(text, KEY)
+    assert all(a < b for a, b, *_ in found) and (found or out == text)
+
+
+KEY = b"sixteen bytes it"
 
 
 def test_feistel_permutes():
     for n in (1, 2, 3):
-        values = {P.feistel(str(i).zfill(n), 10, b"key", string.digits) for i in range(10**n)}
+        values = {O.feistel(str(i).zfill(n), string.digits, KEY) for i in range(10**n)}
         assert len(values) == 10**n
-    assert P.feistel("123456789", 10, b"a", string.digits) != P.feistel("123456789", 10, b"b", string.digits)
-    assert P.pseudonym("+44 7700 900660", "phone", b"k").count(" ") == 2
-    digits = lambda s: "".join(c for c in s if c.isdigit())
-    assert digits(P.pseudonym("(406) 555-0105", "phone", b"k")) == digits(P.pseudonym("406.555.0105", "phone", b"k"))
-    assert P.pseudonym("Nim, Rosa", "name", b"k") == P.pseudonym("rosa nim", "name", b"k")
+    assert O.feistel("123456789", string.digits, b"a") != O.feistel("123456789", string.digits, b"b")
+    even = {O.walk(f"{i:03}", string.digits, KEY, lambda s: int(s) % 2 == 0) for i in range(0, 1000, 2)}
+    assert len(even) == 500 and all(int(x) % 2 == 0 for x in even)
+    assert sorted(O.shift(i, 365, KEY) for i in range(365)) == list(range(365))
+    assert P.pseudonym("Nim, Rosa", "name", KEY) == P.pseudonym("rosa nim", "name", KEY)
+
+
+def test_phone_formats():
+    put = lambda s: P.pseudonym(s, "phone", KEY)
+    new = put("+1 (212) 555-0100")
+    assert new.startswith("+1 (") and O.split_phone(new) and put("(212) 555-0100") == new[3:] and put("212.555.0100") == new[4:7] + "." + new[9:12] + "." + new[13:]
+    assert put("+44 7700 900660")[4:].replace(" ", "") == put("07700 900 660")[1:].replace(" ", "") and put("+44 (0) 7700 900660").startswith("+44 (0) ")
+    assert put("386 555 0116 ext. 598").count(" ") == 4 and " ext. " in put("386 555 0116 ext. 598")
+    numbers = [f"(2{a}2) 55{b}-0{c:03}" for a in range(3) for b in range(3) for c in range(0, 1000, 97)]
+    assert len({put(s) for s in numbers}) == len(numbers)
+
+
+@pytest.mark.parametrize("value", ["DE89 3704 0044 0532 0130 00", "4111-1111-1111-1111", "1 84 12 76 451 089 46", "12345678Z", "x1234567l", "943-24-4325", "QQ 18 90 51 A", "Z4403486"])
+def test_identity_formats(value):
+    new = P.pseudonym(value, "id_number", KEY)
+    assert O.id_format(new) == O.id_format(value) and O.id_format(value)[1] and new != value
+    assert [c.isalnum() for c in new] == [c.isalnum() for c in value] and [c.islower() for c in new] == [c.islower() for c in value]
+
+
+def test_dates_stay_linked():
+    same = ["1984-02-29", "29.02.1984", "29/02/1984", "29 February 1984", "29 février 1984", "29 de febrero de 1984"]
+    new = [O.split_date(P.pseudonym(s, "date", KEY))[0] for s in same]
+    assert len(set(new)) == 1 and P.pseudonym(same[1], "date", KEY)[2] == "."
+    assert P.pseudonym("31.02.1984", "date", KEY) == "31.02.1984"
 
 
 def test_redact_documents(spark):
-    rows = [(1, "Ping Rosa Nim on +1-397-555-0149 if"), (2, None), (3, ""), (4, "nothing"), (1, "Ping Rosa Nim on +1-397-555-0149 if")]
+    rows = [(1, "Ping Rosa Nim on +1-397-555-0149 if"), (2, None), (3, ""), (4, "nothing"), (1, "Ping Rosa Nim on +1-397-555-0149 if"), (5, "(397) 555-0149")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("kind", F.lit("clash"))
-    got = P.find_mentions(docs).collect()
-    assert sorted((r.doc_id, r.kind, r.start_at) for r in got) == [(1, "name", 5), (1, "phone", 17)]
-    red = {r.doc_id: r for r in P.redact_documents(docs).collect()}
+    got = P.find_mentions(docs, KEY).collect()
+    assert sorted((r.doc_id, r.kind, r.start_at) for r in got) == [(1, "name", 5), (1, "phone", 17), (5, "phone", 0)]
+    tail = {r.doc_id: "".join(c for c in r.pseudonym if c.isdigit())[-10:] for r in got if r.kind == "phone"}
+    assert tail[1] == tail[5]  # one number, two ways of writing it, two documents
+    red = {r.doc_id: r for r in P.redact_documents(docs, KEY).collect()}
     assert red[2].text is None and red[3].text == "" and red[4].text == "nothing" and red[1].text.startswith("Ping [name:")
-    assert P.find_mentions(docs.limit(0)).count() == 0
+    assert P.find_mentions(docs.limit(0), KEY).count() == 0
+    with pytest.raises(ValueError):
+        P.find_mentions(docs, b"short")
+
+
+def test_names_of_a_collection_are_learned(spark):
+    texts = [f"Owner: Zorvane Plimsol{c} <zp{c}@site.example> and the pilot plan runs" for c in "abcdef"] + ["the stage plan was kept by Zorvane Quist. Stage Plan is old."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    lexicon = P.learn_names(docs)
+    assert "zorvane" in lexicon.given and "plan" in lexicon.ordinary and "plimsola" not in lexicon.ordinary
+    assert [texts[6][a:b] for a, b, k in P.mentions(texts[6], lexicon)] == ["Zorvane Quist"]
