@@ -1,10 +1,14 @@
 """Source files that nobody wrote by hand here: generated, minified, vendored, or data kept as code.
 
-Identifiers of all files train a character trigram model per language, and those of files in vendor folders a second
-one. A file is then judged by its own identifiers: mangled names have a high cross-entropy (minified), names that only
-a counter tells apart have a low diversity (generated), and type, package and module names that read like the vendored
-ones or carry the name of a library seen in a vendor folder are foreign (vendored). Layout (line lengths, share of
-literals) and what the head comment says of the file itself complete the verdict.
+Character trigram models of names decide. Identifiers train one model a language: mangled names have a high cross-entropy
+under it (minified). Names that only a counter tells apart have a low diversity (generated), names with next to no
+control words around them and literals for the rest are data. A second pair of models is trained on the names files go
+by (folders, packages, types, words of the head comment) in foreign and in other files: a file one of whose names reads
+much more like the foreign ones is vendored, wherever it lies.
+
+Folders of third-party code and head comments that state a copy label the files the foreign model is trained on. What a
+file declares of itself (those, and statements that it is generated) is a verdict only where no model has one; a column
+says which of the two told.
 """
 
 from __future__ import annotations
@@ -23,26 +27,21 @@ from lodegraph.llm.batches import map_rows, spread
 
 # --- Fixed values -------------------------------------------------------------------------------------------------
 EXTENSIONS = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go"}
-#: Folders that hold third-party code, and the part of the path that names the library.
-VENDOR_PATH = re.compile(r"(?:^|/)(?:vendor|third[_-]party|thirdparty|3rdparty|node_modules|bower_components|external|externals|_vendor|_vendored|contrib/upstream|deps|Godeps/_workspace|site-packages|jspm_packages)/(?:@[\w.-]+/)?([A-Za-z][A-Za-z_]*(?:-[A-Za-z_]+)*)")
-GENERATED_PATH = re.compile(r"(?:\.(?:gen|generated|pb|pb\.gw|g|designer)\.\w+|_pb2(?:_grpc)?\.pyi?|_generated\.\w+|(?:^|/)zz_generated[\w.]*)$|(?:^|/)(?:generated|__generated__|gen-src|generated-sources|autogen)/")
-MINIFIED_PATH = re.compile(r"[.-]min\.\w+$|\.bundle\.js$|\.chunk\.js$")
-#: What a head comment says of a generated file (in the languages of the comments), as a statement about this file.
-GENERATED_HEAD = re.compile(
-    r"(?i)^(?:@generated\b|<auto-?generated\s*/?>|code generated (?:by|from)\b.*do not edit|this (?:file|code|class|module) (?:was|is|has been) (?:auto(?:matically)?[- ]?)?(?:generated|produced|created|built)\b|(?:auto-?generated|automatically generated|generated|machine generated) (?:by|from|with|using|code|file)\b(?!.*\bread)"
-    r"|(?:do not edit|don't edit|do not modify)\b|automatisch (?:erzeugt|generiert)\b|diese datei (?:wurde|ist) (?:automatisch )?(?:erzeugt|generiert)|fichier généré\b|généré (?:automatiquement|par)\b|ce fichier (?:est|a été) généré|generado (?:automáticamente|por)\b|archivo generado\b|este archivo (?:fue|ha sido|se ha) generado|autogenerado\b|generated by\b)"
-)
-VENDORED_HEAD = re.compile(
-    r"(?i)^(?:upstream(?: source| project)?\s*:\s*([A-Za-z][\w-]*)|([A-Za-z][\w.-]*?)\s+v?\d+(?:\.\d+){1,3}\s*(?:[-–|].*\b(?:unmodified|vendored|imported|do not reformat|bundle)\b.*|$)|(?:vendored|imported|copied|taken)\s+(?:unmodified\s+)?from\s+([A-Za-z][\w./-]*))"
-)
-BUNDLE_HEAD = re.compile(r"^/\*!\s*([A-Za-z][\w.-]*)\s+v?\d+(?:\.\d+)+")
-_HOLDER = re.compile(r"(?im)^\W*(?:spdx-filecopyrighttext:|copyright)\s*(?:\(c\)|©)?\s*[\d,\s–-]*(?:the\s+)?([A-Za-z][\w-]*)\s+(?:authors|contributors|maintainers|collective|team|project|developers)\b")
+#: Folders that hold third-party code by convention.
+VENDOR_FOLDERS = ("vendor", "third_party", "third-party", "thirdparty", "3rdparty", "node_modules", "bower_components", "external", "externals", "_vendor", "_vendored", "contrib/upstream", "deps", "Godeps/_workspace", "site-packages", "jspm_packages")
+_VENDOR_PATH = re.compile("(?:^|/)(?:" + "|".join(VENDOR_FOLDERS) + ")(?=/[^/]+/)")
+#: How a head comment states that the file is a copy of something else, or that a tool wrote it.
+VENDORED_HEAD = re.compile(r"(?i)^(?:upstream(?: source| project)?\s*:\s*[a-z]|[a-z][\w.-]*?\s+v?\d+(?:\.\d+){1,3}\s*(?:[-–|].*\b(?:unmodified|vendored|imported|do not reformat|bundle)\b.*|$)|(?:vendored|imported|copied|taken)\s+(?:unmodified\s+)?from\s+[a-z])")
+GENERATED_HEAD = re.compile(r"(?i)^(?:@generated\b|<auto-?generated\s*/?>|(?:this (?:file|code) (?:was|is) |code |auto(?:matically)?[- ]?)generated\b)")
 _COMMENT_LINE = re.compile(r"^\s*(?://+!?|#+!?|/\*+!?|\*+/?|--|;+|<!--)?\s?(.*?)\s*(?:\*/|-->)?\s*$")
 _IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _LITERAL = re.compile(r"""0[xX][0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[\[\]{},:]""")
 _COMMENT = re.compile(r"(\"(?!\"\")(?:[^\"\\\n]|\\.)*\"|'(?!'')(?:[^'\\\n]|\\.)*')|/\*.*?\*/|//[^\n]*|(?m:^[ \t]*#[^\n]*)|\"\"\".*?\"\"\"|'''.*?'''", re.DOTALL)
 _DECLARED = re.compile(r"\b(?:def|function|func|class|interface|struct|type|const|let|var|enum)\s+(?:\([^)\n]*\)\s*)?([A-Za-z_$][\w$]*)|\b(?:public|private|protected|static)\b[\w<>\[\], ]*?\s([A-Za-z_$][\w$]*)\s*\(")
 _TYPES = re.compile(r"\b(?:class|interface|struct|enum|type)\s+([A-Za-z_$][\w$]*)")
+#: So many plain words in a row make a sentence, which is about something, rather than a line of names.
+_SENTENCE = re.compile(r"(?:\b[a-z]+[, ]+){6}")
+_VERSION = re.compile(r"[-@]?v?\d+(?:\.\d+)+$")
 _PACKAGE = re.compile(r"^\s*package\s+([\w.]+)", re.M)
 _COUNTER = re.compile(r"\d+")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -54,12 +53,12 @@ BASE = len(SYMBOLS) + 1  # 0 marks the ends of a name
 
 #: Verdicts. Cross-entropy in bits a character above the language's mean from which names count as mangled, the share
 #: of such names, and the characters a line that no hand writes; names a template makes at least and their diversity;
-#: share of literals and control words at most of a data file; bits a character by which a type or package name must
-#: read more like those of vendored files than like the others.
+#: share of literals and control words at most of a data file; bits a character by which one name of a file must read
+#: more like those of foreign files than like the others; counts added to each trigram.
 EXCESS_BITS, MANGLED_SHARE, LONG_LINE = 1.0, 0.3, 160
 TEMPLATE_NAMES, TEMPLATE_COUNTERS, DIVERSITY = 6, 4, 0.4
 DATA_SHARE, DATA_CONTROL = 0.55, 2
-FOREIGN_BITS = 0.6
+FOREIGN_BITS, SMOOTHING = 1.5, 0.1
 LANGUAGES = ("python", "javascript", "typescript", "java", "go")
 
 
@@ -91,8 +90,8 @@ def entropies(names: list[str], logp: np.ndarray) -> np.ndarray:
 
 
 def model(counts: np.ndarray) -> np.ndarray:
-    """log2 P(third | first two) of every trigram, smoothed with half a count."""
-    rows = (counts + 0.5).reshape(-1, BASE)
+    """log2 P(third | first two) of every trigram, smoothed with SMOOTHING counts."""
+    rows = (counts + SMOOTHING).reshape(-1, BASE)
     return np.log2(rows / rows.sum(1, keepdims=True)).ravel()
 
 
@@ -113,29 +112,6 @@ def identifiers(text: str) -> list[str]:
     return list(dict.fromkeys(_IDENT.findall(text)))
 
 
-def identities(text: str, head: list[str]) -> tuple[set[str], bool]:
-    """Lower-case names a file goes by (holder, package, prefix of its types; not what it imports), and whether its head says it is a copy."""
-    own: set[str] = set()
-    stated = False
-    for line in head:
-        m = VENDORED_HEAD.match(line)
-        if m:
-            stated = True
-            own.add((m[1] or m[2] or m[3]).lower().split("/")[-1])
-    m = BUNDLE_HEAD.match(text.lstrip())
-    if m:
-        stated = True
-        own.add(m[1].lower())
-    own |= {h.lower() for h in _HOLDER.findall("\n".join(head))}
-    for p in _PACKAGE.findall(text):
-        own |= {x.lower() for x in p.split(".")[:4]}
-    for t in _TYPES.findall(text):
-        w = _WORDS.findall(t)
-        if len(w) > 1:
-            own.add(w[0].lower())
-    return own, stated
-
-
 def _prose(string: str) -> bool:
     return string.count(" ") > 3 and sum(c.isalpha() or c == " " for c in string) > 0.9 * len(string)
 
@@ -157,115 +133,119 @@ def diversity(text: str) -> tuple[int, float]:
     return len(counted), len(shapes) / len(names)
 
 
-def style_names(text: str) -> list[str]:
-    """Names of types and packages, where a project's naming style shows."""
-    return list(dict.fromkeys(n for n in (*_TYPES.findall(text), *(x for p in _PACKAGE.findall(text) for x in p.split(".") if x)) if len(n) < 80))
+def declared(path: str | None, text: str, head: list[str]) -> str | None:
+    """What a file says of itself by its folder or head comment: vendored, generated, or None."""
+    if _VENDOR_PATH.search(path or "") or text.lstrip().startswith("/*!") or any(VENDORED_HEAD.match(x) for x in head):
+        return "vendored"
+    return "generated" if any(GENERATED_HEAD.match(x) for x in head) else None
+
+
+def identities(path: str | None, text: str, head: list[str]) -> list[str]:
+    """Lower-case names a file goes by: its folders without the conventional ones, packages, types, words of its head comment outside of sentences."""
+    folders = _VENDOR_PATH.sub("", path or "").split("/")[:-1]
+    names = [re.sub(r"\W", "_", _VERSION.sub("", f)) for f in folders]
+    names += _TYPES.findall(text)
+    names += [x for p in _PACKAGE.findall(text) for x in p.split(".")]
+    names += [w for line in head if not _SENTENCE.search(line) for w in _IDENT.findall(line)]
+    return list(dict.fromkeys(n.lower() for n in names if len(n) > 2))
 
 
 class Models:
-    """Trigram models of a language: all identifiers, and type and package names in and outside vendor folders."""
+    """Trigram models: identifiers of each language, and names of foreign and of other files."""
 
-    def __init__(self, counts: dict[tuple[str, str], np.ndarray]):
-        self.names = {lang: model(c) for (kind, lang), c in counts.items() if kind == "names"}
+    def __init__(self, counts: dict[str, np.ndarray]):
+        self.names = {lang: model(counts[lang]) for lang in (*LANGUAGES, "other") if lang in counts}
         # The mean bits a character of what a model was trained on, from its counts.
-        self.mean = {lang: float(-(counts["names", lang] * m).sum() / max(1, counts["names", lang].sum())) for lang, m in self.names.items()}
-        self.styles = {lang: (model(counts["own", lang]), model(c)) for (kind, lang), c in counts.items() if kind == "vendor" and ("own", lang) in counts}
+        self.mean = {lang: float(-(counts[lang] * m).sum() / max(1, counts[lang].sum())) for lang, m in self.names.items()}
+        self.foreign = model(counts["foreign"]) - model(counts["own"]) if "foreign" in counts and "own" in counts else None
 
     def mangled_share(self, lang: str, names: list[str]) -> float:
         if lang not in self.names or len(names) < 8:
             return 0.0
         return float(np.mean(entropies(names, self.names[lang]) > self.mean[lang] + EXCESS_BITS))
 
-    def foreign_bits(self, lang: str, names: list[str]) -> float:
-        """By how many bits a character the most foreign name reads like a vendored one."""
-        if lang not in self.styles or not names:
+    def foreign_bits(self, names: list[str]) -> float:
+        """By how many bits a character the most foreign name reads more like those of foreign files."""
+        if self.foreign is None or not names:
             return 0.0
-        own, vendor = self.styles[lang]
-        return float((entropies(names, own) - entropies(names, vendor)).max())
-
-
-def judge(path: str | None, language: str | None, text: str, models: Models) -> tuple[str | None, list[str]]:
-    """(reason or None, names the file goes by, where it has no reason yet). These are compared with library names afterwards."""
-    p = path or ""
-    if VENDOR_PATH.search(p):
-        return "vendored", []
-    if MINIFIED_PATH.search(p):
-        return "minified", []
-    if GENERATED_PATH.search(p):
-        return "generated", []
+        return float(-entropies(names, self.foreign).min())
+
+
+def judge(path: str | None, language: str | None, text: str, head: list[str], models: Models) -> str | None:
+    """What the models make of a file: minified, generated, data, vendored, or None (written by hand here)."""
     lang = language_of(path, language)
-    if len(text) / (text.count("\n") + 1) > LONG_LINE and models.mangled_share(lang, [n for n in identifiers(text) if len(n) < 80]) >= MANGLED_SHARE:
-        return "minified", []
-    head = head_lines(text)
-    if any(GENERATED_HEAD.match(x) for x in head):
-        return "generated", []
-    own, stated = identities(text, head)
-    if stated:
-        return "vendored", []
+    if len(text) / (text.count("\n") + 1) > LONG_LINE and models.mangled_share(lang, identifiers(text)) >= MANGLED_SHARE:
+        return "minified"
     counted, div = diversity(text)
     if counted >= TEMPLATE_NAMES and div <= DIVERSITY:
-        return "generated", []
+        return "generated"
     if len(text) >= 200 and len(_CONTROL.findall(text)) <= DATA_CONTROL and literal_share(text) >= DATA_SHARE:
-        return "data", []
-    if models.foreign_bits(lang, style_names(text)) > FOREIGN_BITS:
-        return "vendored", []
-    return None, sorted(own)
+        return "data"
+    if models.foreign_bits(identities(path, text, head)) > FOREIGN_BITS:
+        return "vendored"
+    return None
 
 
 _CONTROL = re.compile(r"\b(?:return|if|for|while|def|func|function|switch|try)\b")
-MODELS = tuple((kind, lang) for kind in ("names", "own", "vendor") for lang in (*LANGUAGES, "other"))
+MODELS = (*LANGUAGES, "other", "own", "foreign")
 _TRAINED = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts of a task's files: at most BASE^3 numbers a language and kind, whatever the data."""
-    sums: dict[tuple[str, str], np.ndarray] = {}
+    """Trigram counts of a task's files: at most BASE^3 numbers a model, whatever the data."""
+    sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for path, language, text in zip(*(batch.column(c).to_pylist() for c in ("rel_path", "language", "source_text"))):
-            lang = language_of(path, language)
-            style = "vendor" if VENDOR_PATH.search(path or "") else "own"
-            for kind, names in (("names", [n for n in identifiers(text) if len(n) < 80]), (style, style_names(text))):
-                if names:
-                    code, n = np.unique(trigrams(names), return_counts=True)
-                    if (kind, lang) not in sums:
-                        sums[kind, lang] = np.zeros(BASE**3, np.int64)
-                    sums[kind, lang][code] += n
-    for key, table in sums.items():
+            head = head_lines(text)
+            foreign = declared(path, text, head) == "vendored"
+            names = identities(path, text, head)
+            for kind, some in ((language_of(path, language), identifiers(text)), ("foreign" if foreign else "own", names)):
+                if some:
+                    code, n = np.unique(trigrams(some), return_counts=True)
+                    if kind not in sums:
+                        sums[kind] = np.zeros(BASE**3, np.int64)
+                    sums[kind][code] += n
+    for kind, table in sums.items():
         code = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(code + MODELS.index(key) * BASE**3), pa.array(table[code])], schema=_TRAINED)
+        yield pa.RecordBatch.from_arrays([pa.array(code + MODELS.index(kind) * BASE**3), pa.array(table[code])], schema=_TRAINED)
 
 
 def train(files: DataFrame) -> Models:
     """Models of all files. What reaches the driver is bounded by alphabet and languages: at most len(MODELS) * BASE^3 pairs of numbers."""
-    counts: dict[tuple[str, str], np.ndarray] = {}
+    counts: dict[str, np.ndarray] = {}
     summed = files.mapInArrow(_count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     code, n = np.asarray(summed["code"]), np.asarray(summed["n"])
-    for i, key in enumerate(MODELS):
+    for i, kind in enumerate(MODELS):
         own = code // BASE**3 == i
         if own.any():
-            counts[key] = np.zeros(BASE**3, np.int64)
-            counts[key][code[own] % BASE**3] = n[own]
+            counts[kind] = np.zeros(BASE**3, np.int64)
+            counts[kind][code[own] % BASE**3] = n[own]
     return Models(counts)
 
 
-FOUND = "wiki_id string, rel_path string, reason string, names array<string>"
+FOUND = "wiki_id string, rel_path string, reason string, told_by string"
 
 
 def not_handwritten(nodes: DataFrame) -> DataFrame:
-    """One row a file (wiki_id, rel_path of a 'module' row, any case) that was not written by hand there, and why.
+    """One row a file (wiki_id, rel_path of a 'module' row, any case) that was not written by hand there, why, and what told.
 
-    Reasons: minified, generated, vendored, data. A file delivered several times counts once; if any delivery is
-    judged so, it is. Null or empty texts are judged by path alone. Null paths and languages are allowed (the language
-    falls back to the column). Extra columns are ignored. An empty table gives no rows.
+    Reasons: minified, generated, vendored, data; told by names (the models) or by declaration. A file delivered several times counts once; if any delivery is
+    judged so, it is. Null or empty texts are judged by the names of their folders alone. Null paths and languages are
+    allowed (the language falls back to the column). Extra columns are ignored. An empty table gives no rows. Only
+    verdicts are shuffled.
     """
     files = spread(nodes.where(F.lower("symbol_type") == "module").select("wiki_id", "rel_path", "language", F.coalesce("source_text", F.lit("")).alias("source_text")))
     models = nodes.sparkSession.sparkContext.broadcast(train(files))
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        got = [judge(p, lang, t, models.value) for p, lang, t in zip(cols["rel_path"], cols["language"], cols["source_text"])]
-        return {"wiki_id": cols["wiki_id"], "rel_path": cols["rel_path"], "reason": [r for r, _ in got], "names": [n for _, n in got]}
-
-    judged = map_rows(files, run, FOUND).where("reason is not null or size(names) > 0")
-    libraries = nodes.select(F.lower(F.regexp_extract("rel_path", VENDOR_PATH.pattern, 1)).alias("name")).where("name <> ''").distinct().withColumn("known", F.lit("vendored"))
-    named = judged.select("wiki_id", "rel_path", "reason", F.explode_outer("names").alias("name")).join(libraries, "name", "left")
-    return named.where("reason is not null or known is not null").groupBy("wiki_id", "rel_path").agg(F.min(F.coalesce("reason", "known")).alias("reason"))
+        found = []
+        for w, p, lang, t in zip(cols["wiki_id"], cols["rel_path"], cols["language"], cols["source_text"]):
+            head = head_lines(t)
+            told = judge(p, lang, t, head, models.value)
+            said = None if told else declared(p, t, head)
+            if told or said:
+                found.append((w, p, told or said, "names" if told else "declaration"))
+        return {c: [x[i] for x in found] for i, c in enumerate(("wiki_id", "rel_path", "reason", "told_by"))}
+
+    best = F.max(F.struct("told_by", "reason")).alias("b")
+    return map_rows(files, run, FOUND).groupBy("wiki_id", "rel_path").agg(best).select("wiki_id", "rel_path", "b.reason", "b.told_by")

@@ -49,7 +49,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.not_handwritten(_table(spark, d, "repo_nodes")).groupBy("wiki_id", "reason").agg(F.count(F.lit(1)).alias("n_files"))
+    return provenance.not_handwritten(_table(spark, d, "repo_nodes")).groupBy("wiki_id", "reason", "told_by").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -169,9 +169,13 @@ def test_not_handwritten(spark):
         row("src/gen.py", GENERATED), row("src/head.py", "# Code generated by tool. DO NOT EDIT.\n" + HAND), row("src/a.js", MINIFIED, "javascript"), row("vendor/libx/a.py", HAND),
         row("src/copy.py", "# libx 3.1.4\n# Copyright (c) 2010 The Libx Authors. All rights reserved.\n" + HAND), row("src/holder.py", "# Copyright (c) 2010 the libx contributors\n" + HAND),
         row("src/data.py", "TABLE = [" + ", ".join(str(i * 7) for i in range(200)) + "]\n"), row("src/writes.py", 'HEADER = "# Code generated by tool. DO NOT EDIT."\n' + HAND),
-        row("src/vendors/mine.py", HAND), row("src/null.py", None), row("src/empty.py", ""), row(None, HAND), row("src/gen.py", GENERATED),
+        *(row(f"vendor/libx/b{i}.py", f"# libx 3.1.{i}\n" + HAND.replace("handle", f"part{i}")) for i in range(4)), row("src/vendors/mine.py", HAND),
+        row("src/ids.py", "# Ids below are generated by the layout at start-up; do not edit the order of the checks.\n" + HAND), row("src/null.py", None), row("src/empty.py", ""), row(None, HAND), row("src/gen.py", GENERATED),
     ]
-    got = {r.rel_path: r.reason for r in V.not_handwritten(nodes_of(spark, rows)).collect()}
+    found = V.not_handwritten(nodes_of(spark, rows)).collect()
+    got = {r.rel_path: r.reason for r in found if not (r.rel_path or "").startswith("vendor/libx/b")}
+    assert sum((r.rel_path or "").startswith("vendor/libx/b") for r in found) == 4
+    assert {r.rel_path: r.told_by for r in found if r.rel_path in ("src/gen.py", "src/head.py", "src/holder.py")} == {"src/gen.py": "names", "src/head.py": "declaration", "src/holder.py": "names"}
     got["src/a.js"] = {"generated": "minified"}.get(got["src/a.js"], got["src/a.js"])  # so few files train no sharp model
     assert got == {"src/gen.py": "generated", "src/head.py": "generated", "src/a.js": "minified", "vendor/libx/a.py": "vendored", "src/copy.py": "vendored", "src/holder.py": "vendored", "src/data.py": "data"}
     assert V.not_handwritten(nodes_of(spark, [])).count() == 0
