@@ -30,18 +30,19 @@ LEAST_SEEDS = 2
 #: stretches taken together, and matches that a later stretch must have.
 MATCH, MISMATCH, GAP = 2, -3, -2
 STRETCHES, STRETCH_WORDS = 5, 5
-#: Items of one broadcast; more items run in further passes.
-BLOCK = 5000
+#: Items of one broadcast, and the words they may have together; more items run in further passes.
+BLOCK, BLOCK_WORDS = 50_000, 5_000_000
 
 # --- Fixed values: letters of other scripts that look like Latin ones -----------------------------------------------
-_LOOKALIKES = str.maketrans(
-    "аеорсухівѕјԁһкмтнАЕОРСУХІВЅЈКМТНαοριυνκτεΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
-    "aeopcyxibsjdhkmtnaeopcyxibsjkmtnaopiuvkteabezhikmnoptyx",
-)
+_CYRILLIC = str.maketrans("аеорсухівѕјԁһкмтнАЕОРСУХІВЅЈКМТН", "aeopcyxibsjdhkmtnaeopcyxibsjkmtn")
+#: Greek capitals look like other letters than their small forms do, so these hold in Latin text only.
+_GREEK = str.maketrans("αοριυνκτεΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aopiuvkteabezhikmnoptyx")
+_GREEK_LETTER, _LATIN_LETTER = re.compile("[Ͱ-Ͽ]"), re.compile("[A-Za-z]")
 _INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿︀-️̀-ͯ]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _SOFT = re.compile(r"(?<=[A-Za-z])[-‐‑]\s*\n[\s>#*/]*(?=[a-z])")
-_WORDS = re.compile(r"[a-z0-9]+")
+#: A word: a run of letters and digits; in scripts written without spaces each character is one.
+_WORDS = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\\W_\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
 
 
 def words(text: str) -> list[str]:
@@ -51,10 +52,12 @@ def words(text: str) -> list[str]:
     if "<" in text:
         text = _TAG.sub("", text)
     if not text.isascii():
-        text = _INVISIBLE.sub("", unicodedata.normalize("NFKD", text)).translate(_LOOKALIKES)
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKD", text)).translate(_CYRILLIC)
+        if len(_GREEK_LETTER.findall(text)) < len(_LATIN_LETTER.findall(text)):
+            text = text.translate(_GREEK)
     if "\n" in text:
         text = _SOFT.sub("", text)
-    return _WORDS.findall(text.lower())
+    return _WORDS.findall(text.casefold())
 
 
 @dataclass
@@ -113,17 +116,33 @@ def rare_seeds(seeds: Seeds, df: np.ndarray) -> np.ndarray:
 
     What is common is judged within the item, so an item that leaked into a third of all documents keeps its seeds.
     """
-    out = np.zeros(len(seeds.pair_seed), bool)
-    for k in range(len(seeds.items)):
-        own = seeds.pair_item == k
-        if own.any():
-            freq = df[seeds.pair_seed[own]]
-            out[own] = freq <= np.quantile(freq, RARE)
-    return out
+    freq, item = df[seeds.pair_seed], seeds.pair_item
+    order = np.lexsort((freq, item))
+    n = np.bincount(item, minlength=len(seeds.items))
+    first = np.cumsum(n) - n
+    last = first + np.floor(np.maximum(n - 1, 0) * RARE).astype(int)
+    bound = np.zeros(len(n), df.dtype)
+    bound[n > 0] = freq[order][last[n > 0]]
+    return freq <= bound[item]
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
-    """Matched (item word, document word) places of the best local alignment."""
+    """Matched (item word, document word) places of the best local alignment.
+
+    m words of an item gain at most MATCH * m, so no alignment with a positive score covers more than
+    m + MATCH * m / -GAP = 2 m words of the document. Blocks of 4 m words that overlap by half hold each of them whole, and
+    the memory needed depends on the item alone.
+    """
+    m, n = len(item), len(doc)
+    best, out = 0, []
+    for at in range(0, max(1, n - 2 * m), 2 * m):
+        score, got = _align(item, doc[at : at + 4 * m])
+        if score > best:
+            best, out = score, [(i, j + at) for i, j in got]
+    return out
+
+
+def _align(item: np.ndarray, doc: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
     m, n = len(item), len(doc)
     h = np.zeros((m + 1, n + 1), np.int32)
     ramp = np.arange(n + 1, dtype=np.int32) * GAP
@@ -133,7 +152,7 @@ def align(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
         np.maximum(np.maximum(h[i, 1:] + GAP, h[i, :-1] + s), 0, out=row[1:])
         h[i + 1] = np.maximum.accumulate(row - ramp) + ramp
     i, j = np.unravel_index(int(h.argmax()), h.shape)
-    out = []
+    top, out = int(h[i, j]), []
     while i > 0 and j > 0 and h[i, j] > 0:
         same = doc[j - 1] == item[i - 1]
         if h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
@@ -144,7 +163,7 @@ def align(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
             i -= 1
         else:
             j -= 1
-    return out[::-1]
+    return top, out[::-1]
 
 
 def matched_words(item: np.ndarray, doc: np.ndarray) -> int:
@@ -168,14 +187,20 @@ def matched_words(item: np.ndarray, doc: np.ndarray) -> int:
     return total
 
 
-def near(doc: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
-    """The words of a document within `reach` of any seed; far parts hold no seed of this item and are left out."""
+def near(doc: np.ndarray, at: np.ndarray, reach: int, apart: int) -> np.ndarray:
+    """The words of a document within `reach` of any seed; far parts hold no seed of this item and are left out.
+
+    In the place of a part left out stand words that match nothing, as many as the part has or `apart` if it has more:
+    with more of them than an item has words no alignment bridges the gap, as none does in the whole document.
+    """
     if len(doc) <= 4 * reach:
         return doc
     edge = np.zeros(len(doc) + 1, np.int64)
     np.add.at(edge, np.maximum(at - reach, 0), 1)
     np.add.at(edge, np.minimum(at + reach, len(doc)), -1)
-    return doc[np.cumsum(edge)[:-1] > 0]
+    kept = np.cumsum(edge)[:-1] > 0
+    since = np.arange(len(doc)) - np.maximum.accumulate(np.where(kept, np.arange(len(doc)), -1))
+    return np.where(kept, doc, -1)[kept | (since <= apart)]
 
 
 def leaks_of(text: str, seeds: Seeds, rare: np.ndarray) -> list[tuple[int, int, int]]:
@@ -192,7 +217,7 @@ def leaks_of(text: str, seeds: Seeds, rare: np.ndarray) -> list[tuple[int, int,
     for k in np.flatnonzero(many >= LEAST_SEEDS):
         item, passage = seeds.items[k]
         own = np.isin(hit, seeds.pair_seed[pairs[seeds.pair_item[pairs] == k]])
-        window, need = near(ids, at[own], 2 * len(passage)), SHARE * len(passage)
+        window, need = near(ids, at[own], 2 * len(passage), len(passage) + 1), SHARE * len(passage)
         # No alignment matches more words than both sides have in common, so nothing is lost by not aligning the rest.
         if (Counter(passage.tolist()) & Counter(window.tolist())).total() < need:
             continue
@@ -210,19 +235,32 @@ def find_leaks(docs: DataFrame, evals: DataFrame) -> DataFrame:
 
     Copies of a document are rows of their own. Null, empty and blank texts and passages match nothing; a passage of
     fewer than three words has no seed and is found nowhere. Repeated rows of one id yield a pair once. Tables without
-    rows give none. Items are read in blocks of BLOCK, so what is broadcast is bounded however many there are.
+    rows give none. Items are read in blocks (BLOCK, BLOCK_WORDS), so what is held and broadcast is bounded however many
+    there are; each block costs two passes over the documents.
     """
     spark = docs.sparkSession
     bare = docs.where("text is not null").select("doc_id", "text")
-    rows = sorted({(r.item_id, r.passage) for r in evals.where("passage is not null").select("item_id", "passage").toLocalIterator()})
+    items = evals.where("passage is not null").select("item_id", "passage").distinct().orderBy("item_id", "passage").toLocalIterator(prefetchPartitions=False)
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint, matched_words int, item_words int")
     spread_docs = spread(bare)
-    for at in range(0, len(rows), BLOCK):
-        seeds = spark.sparkContext.broadcast(build_seeds(rows[at : at + BLOCK]))
-        out = out.unionByName(_block(spread_docs, seeds))
+    for block in _blocks((r.item_id, r.passage) for r in items):
+        out = out.unionByName(_block(spread_docs, spark.sparkContext.broadcast(build_seeds(block))))
     return out.groupBy("doc_id", "item_id").agg(F.max("matched_words").alias("matched_words"), F.max("item_words").alias("item_words"))
 
 
+def _blocks(items: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """Items in lists of at most BLOCK items and about BLOCK_WORDS words (by their characters); one list is held at a time."""
+    block, size = [], 0
+    for item, passage in items:
+        if block and (len(block) == BLOCK or size + len(passage) > 6 * BLOCK_WORDS):
+            yield block
+            block, size = [], 0
+        block.append((item, passage))
+        size += len(passage)
+    if block:
+        yield block
+
+
 def _block(docs: DataFrame, seeds) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = seeds.value

@@ -59,10 +59,10 @@ def _farthest(mask: np.ndarray) -> np.ndarray:
 
 
 def successors(at: np.ndarray, rank: np.ndarray, owner_end: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each boundary the start of the piece after it, and the boundary where that piece ends.
+    """For each boundary the place where the piece after it starts, and the boundary where that piece ends.
 
     `at` ascends over all texts (each text shifted beyond the one before). A piece starts at the best boundary of rank
-    LINE or more at most `overlap` before, else at any boundary there, else right at the cut.
+    LINE or more at most `overlap` before the cut, else at any boundary there, else exactly `overlap` before it.
     """
     n = len(at)
     own = np.arange(n)
@@ -70,10 +70,10 @@ def successors(at: np.ndarray, rank: np.ndarray, owner_end: np.ndarray, limit: i
     first_line = np.full(n + 1, n)
     lines = np.where(rank >= LINE, own, n)
     first_line[:n] = np.minimum.accumulate(lines[::-1])[::-1]
-    start = np.where(first_line[lo] < own, first_line[lo], lo)
-    start = np.where(own == owner_end, own, start)
-    reach = np.minimum(np.searchsorted(at, at[start] + limit, "right") - 1, owner_end)
-    half = np.maximum(at[own], at[start] + limit // 2)
+    start = at[np.where(first_line[lo] < own, first_line[lo], lo)]
+    start = np.where(start == at, at - overlap, start)
+    reach = np.minimum(np.searchsorted(at, start + limit, "right") - 1, owner_end)
+    half = np.maximum(at[own], start + limit // 2)
     succ = np.full(n, -1)
     for r in (BLANK, LINE, SENTENCE, SPACE):
         best = _farthest(rank >= r)[reach]
@@ -85,7 +85,12 @@ def successors(at: np.ndarray, rank: np.ndarray, owner_end: np.ndarray, limit: i
 
 
 def cut(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> list[list[tuple[int, int]]]:
-    """(start, end) of each piece of each text; a text within the limit is one piece, an empty one none."""
+    """(start, end) of each piece of each text; a text within the limit is one piece, an empty one none.
+
+    `overlap` must be less than half of `limit`, so that every cut lies farther than it from the text's beginning.
+    """
+    if not 0 <= 2 * overlap < limit:
+        raise ValueError("the overlap must be less than half of the limit")
     if not texts:
         return []
     ats, ranks, ends, firsts = [], [], [], []
@@ -103,7 +108,7 @@ def cut(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> list[li
     start, succ = successors(at, rank, end, limit, overlap)
     # A text's first boundary has no piece before it: its piece starts there.
     first = np.array(firsts)
-    start[first] = first
+    start[first] = at[first]
     reach = np.minimum(np.searchsorted(at, at[first] + limit, "right") - 1, end[first])
     lead = np.full(len(first), -1)
     for r in (BLANK, LINE, SENTENCE, SPACE):
@@ -125,7 +130,7 @@ def cut(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> list[li
         a, b = firsts[i], int(end[firsts[i]])
         shift = int(at[a])
         marked = np.flatnonzero(cuts[a : b + 1]) + a
-        out.append([(int(at[start[c]]) - shift, int(at[succ[c]]) - shift) for c in marked if c != b])
+        out.append([(int(start[c]) - shift, int(at[succ[c]]) - shift) for c in marked if c != b])
     return out
 
 
@@ -159,7 +164,8 @@ def split_nodes(nodes: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, on
     """Pieces of every node whose source_text has more than `limit` code points.
 
     Each piece has at most `limit` code points and starts at most `overlap` before the end of the piece before, at a
-    line start where there is one; the pieces cover the text without a gap. Null, empty and short texts give no rows.
+    line start where there is one, at another boundary where there is none, else `overlap` before; so consecutive pieces
+    always share text (with overlap > 0), and the pieces cover the text without a gap. Null, empty and short texts give no rows.
     `start_line`/`end_line` of a piece are counted from the node's lower line number (swapped numbers are put in
     order) and never leave the node's range, also where the text has more lines than the range; with only the end
     known lines are counted back from it, with neither they are null. Redelivered nodes (same node_id) count once,

@@ -50,6 +50,24 @@ def test_cut_long_line_and_many():
     assert C.cut([]) == []
 
 
+@pytest.mark.parametrize("text", ["x" * 12_000, ("y" * 3_899 + ";\n") * 4, ("z" * 499 + " ") * 40, ("w" * 300 + "\n") * 60, "a b " * 5_000])
+def test_pieces_always_overlap(text):
+    (spans,) = C.cut([text])
+    assert all(0 < a_end - b_start <= C.OVERLAP for (_, a_end), (b_start, _) in zip(spans, spans[1:])) and len(spans) > 2
+    check_cut(text, C.LIMIT, C.OVERLAP)
+
+
+@given(st.text(alphabet="ab \n.", min_size=41, max_size=400))
+def test_any_pieces_overlap(text):
+    (spans,) = C.cut([text], 40, 8)
+    assert all(0 < a_end - b_start <= 8 for (_, a_end), (b_start, _) in zip(spans, spans[1:]))
+
+
+def test_overlap_has_a_bound():
+    with pytest.raises(ValueError):
+        C.cut(["x"], 40, 20)
+
+
 def greedy(text, limit, overlap):
     """Piece by piece, what pointer doubling must give."""
     at, rank = C.boundaries(text, limit, overlap)
@@ -58,16 +76,16 @@ def greedy(text, limit, overlap):
     while i < n:
         if i:
             lo = next(j for j in range(n + 1) if at[j] >= at[i] - overlap)
-            start = next((j for j in range(lo, i) if rank[j] >= C.LINE), lo)
-        reach = max(j for j in range(n + 1) if at[j] <= at[start] + limit)
+            start = next((at[j] for j in range(lo, i) if rank[j] >= C.LINE), at[lo] if lo < i else at[i] - overlap)
+        reach = max(j for j in range(n + 1) if at[j] <= start + limit)
         end = reach
         if reach != n:
             for r in (C.BLANK, C.LINE, C.SENTENCE, C.SPACE):
-                fit = [j for j in range(i + 1, reach + 1) if rank[j] >= r and at[j] > max(at[i], at[start] + limit // 2)]
+                fit = [j for j in range(i + 1, reach + 1) if rank[j] >= r and at[j] > max(at[i], start + limit // 2)]
                 if fit:
                     end = fit[-1]
                     break
-        out.append((int(at[start]), int(at[end])))
+        out.append((int(start), int(at[end])))
         i = end
     return out
 

@@ -173,6 +173,42 @@ def test_alignment_is_best():
         assert score == smith_waterman(a, b) or (not pairs and smith_waterman(a, b) == 0)
 
 
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=8), st.lists(st.integers(0, 3), max_size=120))
+@settings(deadline=None)
+def test_alignment_in_blocks_is_that_of_the_whole(item, doc):
+    item, doc = np.array(item, np.int64), np.array(doc, np.int64)
+    got = K.align(item, doc)
+    score, _ = K._align(item, doc)
+    assert bool(got) == (score > 0) and all(item[i] == doc[j] for i, j in got)
+    if got:
+        (i0, j0), (i1, j1) = got[0], got[-1]
+        assert K._align(item[i0 : i1 + 1], doc[j0 : j1 + 1])[0] == score
+
+
+def test_far_windows_do_not_touch():
+    doc = np.arange(1, 2001)
+    window = K.near(doc, np.array([500, 1500]), 20, 11)
+    assert window.tolist() == [-1] * 11 + doc[480:520].tolist() + [-1] * 11 + doc[1480:1520].tolist() + [-1] * 11
+    assert K.near(doc[:70], np.array([1]), 20, 11).tolist() == doc[:70].tolist()
+
+
+def test_leaks_in_any_script(spark):
+    passage = {1: "Быстрая коричневая лиса прыгает через ленивую собаку и бежит домой по лесу", 2: "敏捷的棕色狐狸跳过了懒惰的狗然后跑回家去了", 3: "Η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί και τρέχει"}
+    evals = spark.createDataFrame(list(passage.items()), "item_id bigint, passage string")
+    docs = spark.createDataFrame([(10 * i, f"Notes: {t.upper()}! And more.") for i, t in passage.items()] + [(99, "Совсем другой текст про погоду и море без этих слов"), (98, "今天天气很好我们去公园散步")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in K.find_leaks(docs, evals).collect()} == {(10, 1), (20, 2), (30, 3)}
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices(string.ascii_lowercase, k=6))
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(7)]
+    evals = spark.createDataFrame(items, "item_id bigint, passage string")
+    docs = spark.createDataFrame([(i, f"see {p} there") for i, p in items], "doc_id bigint, text string")
+    monkeypatch.setattr(K, "BLOCK", 3)
+    assert {(r.doc_id, r.item_id) for r in K.find_leaks(docs, evals).collect()} == {(i, i) for i in range(7)}
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------------
 CASES = [
     ("Send it to ana.b+x@mail.site.example, please", [("email", "ana.b+x@mail.site.example")]),
