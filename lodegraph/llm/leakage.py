@@ -11,9 +11,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -144,13 +144,20 @@ def align(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
 
 def _align(item: np.ndarray, doc: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
     m, n = len(item), len(doc)
-    h = np.zeros((m + 1, n + 1), np.int32)
-    ramp = np.arange(n + 1, dtype=np.int32) * GAP
-    row = np.zeros(n + 1, np.int32)
+    # Column j is kept higher by -GAP * j, so that gaps along a row cost nothing and become a running maximum.
+    lift = -GAP * np.arange(n + 1, dtype=np.int32)
+    step = np.where(doc == item[:, None], MATCH - GAP, MISMATCH - GAP).astype(np.int32)
+    h = np.empty((m + 1, n + 1), np.int32)
+    h[0], h[:, 0] = lift, 0
+    up = np.empty(n, np.int32)
     for i in range(m):
-        s = np.where(doc == item[i], MATCH, MISMATCH)
-        np.maximum(np.maximum(h[i, 1:] + GAP, h[i, :-1] + s), 0, out=row[1:])
-        h[i + 1] = np.maximum.accumulate(row - ramp) + ramp
+        row = h[i + 1, 1:]
+        np.add(h[i, :-1], step[i], out=row)
+        np.add(h[i, 1:], GAP, out=up)
+        np.maximum(row, up, out=row)
+        np.maximum(row, lift[1:], out=row)
+        np.maximum.accumulate(row, out=row)
+    h -= lift
     i, j = np.unravel_index(int(h.argmax()), h.shape)
     top, out = int(h[i, j]), []
     while i > 0 and j > 0 and h[i, j] > 0:
@@ -166,24 +173,53 @@ def _align(item: np.ndarray, doc: np.ndarray) -> tuple[int, list[tuple[int, int]
     return top, out[::-1]
 
 
-def matched_words(item: np.ndarray, doc: np.ndarray) -> int:
+def in_order(item: np.ndarray, doc: np.ndarray) -> int:
+    """Length of the longest common subsequence: the most words that stretches in order can match. One step of bit operations a word."""
+    places: dict[int, int] = {}
+    for k, w in enumerate(item.tolist()):
+        places[w] = places.get(w, 0) | 1 << k
+    full = (1 << len(item)) - 1
+    open_bits = full
+    for w in doc.tolist():
+        at = places.get(w)
+        if at is not None:
+            hit = open_bits & at
+            open_bits = (open_bits + hit | open_bits - hit) & full
+    return len(item) - open_bits.bit_count()
+
+
+class _Part:
+    """A part of an item against a part of a document; aligned when first asked for."""
+
+    def __init__(self, item: np.ndarray, doc: np.ndarray):
+        self.item, self.doc, self.most = item, doc, in_order(item, doc)
+
+    @cached_property
+    def matches(self) -> list[tuple[int, int]]:
+        return align(self.item, self.doc)
+
+
+def matched_words(item: np.ndarray, doc: np.ndarray, need: float = 0) -> int:
     """Words of the item that align in order over at most STRETCHES stretches.
 
-    The best stretch splits item and document; what lies before both and after both is searched for further ones.
+    The best stretch splits item and document; what lies before both and after both is searched for further ones. Each
+    part is aligned once. A pair that can't come to `need` words any more is given up, so below `need` the number is only
+    known to be below it.
     """
-    total, open_parts = 0, [(item, doc)]
+    total = 0
+    parts = [_Part(item, doc)]
     for k in range(STRETCHES):
-        open_parts = [(x, y) for x, y in open_parts if min(len(x), len(y)) >= (STRETCH_WORDS if k else 1)]
-        if not open_parts:
+        least = STRETCH_WORDS if k else 1
+        parts = [p for p in parts if p.most >= least]
+        if not parts or total + sum(p.most for p in parts) < need:
             break
-        found = [align(x, y) for x, y in open_parts]
-        best = max(range(len(found)), key=lambda i: len(found[i]))
-        got, (x, y) = found[best], open_parts.pop(best)
-        if len(got) < (STRETCH_WORDS if k else 1):
+        best = max(parts, key=lambda p: len(p.matches))
+        if len(best.matches) < least:
             break
-        total += len(got)
-        (i0, j0), (i1, j1) = got[0], got[-1]
-        open_parts += [(x[:i0], y[:j0]), (x[i1 + 1 :], y[j1 + 1 :])]
+        total += len(best.matches)
+        (i0, j0), (i1, j1) = best.matches[0], best.matches[-1]
+        parts.remove(best)
+        parts += [_Part(best.item[:i0], best.doc[:j0]), _Part(best.item[i1 + 1 :], best.doc[j1 + 1 :])]
     return total
 
 
@@ -218,10 +254,7 @@ def leaks_of(text: str, seeds: Seeds, rare: np.ndarray) -> list[tuple[int, int,
         item, passage = seeds.items[k]
         own = np.isin(hit, seeds.pair_seed[pairs[seeds.pair_item[pairs] == k]])
         window, need = near(ids, at[own], 2 * len(passage), len(passage) + 1), SHARE * len(passage)
-        # No alignment matches more words than both sides have in common, so nothing is lost by not aligning the rest.
-        if (Counter(passage.tolist()) & Counter(window.tolist())).total() < need:
-            continue
-        n = matched_words(passage, window)
+        n = matched_words(passage, window, need)
         if n >= need:
             out.append((item, n, len(passage)))
     return out
