@@ -19,14 +19,16 @@ Specs <- ( Spec ( ',' Spec )* ','? )? END
 Spec <- ( AnyName / STR ) ( 'as' ( AnyName / STR ) )?
 Stmt <- {Block} / ';' / VarStmt / FuncDecl / ClassDecl / If / For / While / DoWhile / Switch / Try / Return / Jump / Throw / Debugger / Label / !( {Object} / 'function' / 'class' ) Expr Eos
 Eos <- HERE ';' / BREAK / END / ';'
-VarStmt <- ( 'var' / 'let' / 'const' ) VarDecl ( ',' VarDecl )* Eos
+VarStmt <- Variables Eos
+Variables <- 'const' ConstDecl ( ',' ConstDecl )* / ( 'var' / 'let' ) VarDecl ( ',' VarDecl )*
+ConstDecl <- Binding Typed? '=' Assign
 VarDecl <- Binding Typed? ( '=' Assign )?
 Binding <- Id / {Object} / '[' ( ','* ( '...'? Binding Typed? ( '=' Assign )? ','* )* ) ']'
 Typed <- NEVER
 If <- 'if' '(' Expr ')' Stmt ( 'else' Stmt )?
 For <- 'for' 'await'? '(' ( ForEach / ForInit? ';' Expr? ';' Expr? ) ')' Stmt
 ForEach <- ( ( 'var' / 'let' / 'const' ) Binding / Lhs / {Object} ) ( 'of' Assign / 'in' Expr ) &')'
-ForInit <- ( 'var' / 'let' / 'const' ) VarDecl ( ',' VarDecl )* / Expr
+ForInit <- Variables / Expr
 While <- 'while' '(' Expr ')' Stmt
 DoWhile <- 'do' Stmt 'while' '(' Expr ')' ';'?
 Switch <- 'switch' '(' Expr ')' {SwitchBody}
@@ -51,14 +53,17 @@ Key <- AnyName / STR / NUM / PRIV / '[' Assign ']'
 Object <- ( Prop ( ',' Prop )* ','? )? END
 Prop <- '...' Assign / Mods Key Signature {Block} / Key ':' Assign / Id ( '=' Assign )?
 Expr <- Assign ( ',' Assign )*
-Assign <- Arrow / 'yield' ( HERE '*' Assign / HERE Assign )? / Cond ( AssignOp Assign )?
+Assign <- Arrow / 'yield' ( HERE '*' Assign / HERE Assign )? / AssignTarget AssignOp Assign / Cond
+AssignTarget <- {Object} / '[' Elements ']' !SuffixStart / Target
+Target <- Primary ( Suffix &Suffix )* ( '.' ( AnyName / PRIV ) / '[' Expr ']' ) !SuffixStart / Id !SuffixStart / '(' Target ')' !SuffixStart
+SuffixStart <- '.' / '?.' / '[' / '(' / TPL
 AssignOp <- ASSIGNOP / '>' '>' '>' '=' / '>' '>' '='
 Arrow <- ( 'async' HERE )? ( Id / Signature ) HERE '=>' ( {Block} / Assign )
 Cond <- Binary ( '?' Assign ':' Assign )?
 Binary <- Unary ( BinOp Unary )*
 BinOp <- BINOP / 'in' / 'instanceof' / '>' '>' '>' !'=' / '>' '>' !( '=' / '>' ) / '>' '=' / '>' !'>'
-Unary <- UNARYOP Unary / ( 'typeof' / 'void' / 'delete' / 'await' ) Unary / PRIV &'in' / Postfix
-Postfix <- Lhs ( HERE ( '++' / '--' ) )?
+Unary <- UNARYOP Unary / ( '++' / '--' ) Target / ( 'typeof' / 'void' / 'delete' / 'await' ) Unary / PRIV &'in' / Postfix
+Postfix <- Target HERE ( '++' / '--' ) / Lhs
 Lhs <- Primary Suffix*
 Suffix <- '.' ( AnyName / PRIV ) / '?.' ( AnyName / PRIV / Args / '[' Expr ']' ) / '[' Expr ']' / Args / TPL
 Args <- '(' ( Arg ( ',' Arg )* ','? )? ')'
@@ -87,6 +92,9 @@ EnumBody <- ( EnumItem ( ',' EnumItem )* ','? )? END
 EnumItem <- ( AnyName / STR / '[' Assign ']' ) ( '=' Assign )?
 Namespace <- ( 'namespace' / 'module' ) ( STR / Id ( '.' Id )* ) ( {Module} / Eos )
 Stmt <- {Block} / ';' / Enum / VarStmt / FuncDecl / ClassDecl / Decl / If / For / While / DoWhile / Switch / Try / Return / Jump / Throw / Debugger / Label / !( {Object} / 'function' / 'class' ) Expr Eos
+ConstDecl <- VarDecl
+AssignTarget <- Cond
+Postfix <- Lhs ( HERE ( '++' / '--' ) )?
 Typed <- '?' ':' Type / '!' ':' Type / ':' Type / '?'
 Func <- ( 'async' HERE )? 'function' '*'? Id? Signature ( {Block} / Eos )
 Signature <- Generics? '(' Params? ')' ( ':' Predicate )?
@@ -114,7 +122,7 @@ TupleItem <- '...'? ( AnyName '?'? ':' )? Type '?'?
 TypeName <- Id ( '.' AnyName )*
 Arrow <- ( 'async' HERE )? ( Id / Signature ) HERE '=>' ( {Block} / Assign )
 Binary <- Unary ( HERE ( 'as' / 'satisfies' ) ( 'const' / Type ) / BinOp Unary )*
-Unary <- UNARYOP Unary / ( 'typeof' / 'void' / 'delete' / 'await' ) Unary / PRIV &'in' / '<' ( 'const' / Type ) '>' Unary / Postfix
+Unary <- ( UNARYOP / '++' / '--' ) Unary / ( 'typeof' / 'void' / 'delete' / 'await' ) Unary / PRIV &'in' / '<' ( 'const' / Type ) '>' Unary / Postfix
 Suffix <- '.' ( AnyName / PRIV ) / '?.' ( AnyName / PRIV / TypeArgs? Args / '[' Expr ']' ) / HERE '!' !'=' / '[' Expr ']' / Args / TPL / TypeArgs ( Args / TPL )
 New <- 'new' ( '.' AnyName / NewTarget TypeArgs? Args? )
 """
@@ -155,7 +163,11 @@ TypeArgs <- '<' ( TypeArg ( ',' TypeArg )* )? '>'
 TypeArg <- Annotation* '?' ( ( 'extends' / 'super' ) Type )? / Type
 Dims <- ( '[' ']' )*
 StmtList <- Stmt* END
-Stmt <- {Block} / ';' / If / For / While / DoWhile / Switch Yielded? / Try / Sync / Return / Throw / Jump / Yield / Assert / Label / LocalType / Local ';' / ThisCall / Expr ';'
+Stmt <- {Block} / ';' / If / For / While / DoWhile / Switch Yielded? / Try / Sync / Return / Throw / Jump / Yield / Assert / Label / LocalType / Local ';' / ThisCall / Effect ';'
+Effect <- Target AssignOp Expr / ( '++' / '--' ) Unary / Target ( '++' / '--' ) / Call
+Target <- Primary ( Suffix &Suffix )* ( '.' Id !'(' / '[' Expr ']' ) !SuffixStart / Id !SuffixStart / '(' Target ')' !SuffixStart
+Call <- ( Id Args / 'new' Creator ) !SuffixStart / Primary ( Suffix &Suffix )* '.' ( TypeArgs? Id Args / 'super' Args / 'new' Creator ) !SuffixStart
+SuffixStart <- '.' / '[' / '::' / '('
 LocalType <- Mods ( ClassDecl / InterfaceDecl / EnumDecl / RecordDecl )
 Local <- Mods Type Declarator ( ',' Declarator )*
 ThisCall <- ( 'this' / 'super' ) Args ';'
@@ -181,7 +193,7 @@ Jump <- ( 'break' / 'continue' ) Id? ';'
 Yield <- 'yield' !( '=' / '.' / '(' ) Expr ';'
 Assert <- 'assert' Expr ( ':' Expr )? ';'
 Label <- Id ':' Stmt
-Expr <- Lambda / Cond ( AssignOp Expr )?
+Expr <- Lambda / Target AssignOp Expr / Cond
 AssignOp <- ASSIGNOP / '>' '>=' / '>' '>' '>='
 Lambda <- ( Id / '(' ( LambdaParams / Params )? ')' ) '->' ( {Block} / Expr )
 LambdaParams <- Id ( ',' Id )* &')'
@@ -223,7 +235,7 @@ InterfaceBody <- ( InterfaceItem ';' )* InterfaceItem? END
 InterfaceItem <- NAME FuncSig / Constraint
 StmtList <- ( Stmt? ';' )* Stmt? END
 Stmt <- Decl / {Block} / If / For / Switch / Select / 'return' Exprs? / 'break' NAME? / 'continue' NAME? / 'goto' NAME / 'fallthrough' / 'go' Expr / 'defer' Expr / NAME ':' Stmt? / Simple
-Simple <- Exprs ( ( ':=' / '=' / OPASSIGN ) Exprs / '++' / '--' / '<-' Expr )?
+Simple <- Names ':=' Exprs / Exprs ( ( '=' / OPASSIGN ) Exprs / '++' / '--' / '<-' Expr )?
 If <- 'if' ( Simple? ';' )? Simple {Block} ( 'else' ( If / {Block} ) )?
 For <- 'for' ( {Block} / ( Exprs ( ':=' / '=' ) )? 'range' Expr {Block} / Simple? ';' Expr? ';' Simple? {Block} / Simple {Block} )
 Switch <- 'switch' ( Simple? ';' )? ( ( NAME ':=' )? Expr '.' '(' 'type' ')' / Simple )? {SwitchBody}
@@ -255,8 +267,15 @@ Def <- 'def' Id TypeParams? '(' Params? ')' ( '->' Test )?
 Class <- 'class' Id TypeParams? ( '(' Args? ')' )?
 TypeParams <- '[' TypeParam ( ',' TypeParam )* ','? ']'
 TypeParam <- ( '*' / '**' )? Id ( ':' Test )? ( '=' StarTest )?
-Params <- Param ( ',' Param )* ','?
-Param <- '**' Id ( ':' Test )? / '*' Id ( ':' StarTest )? / '*' &',' / '/' / Id ( ':' Test )? ( '=' Test )?
+Params <- ( Leading ( ',' Starred )? / Starred ) ','?
+Leading <- Plains ',' '/' ( ',' Plain )* ( ',' Preset )* / Plains ( ',' Preset )+ ',' '/' ( ',' Preset )* / Presets ( ',' '/' ( ',' Preset )* )? / Plains ( ',' Preset )*
+Plains <- Plain ( ',' Plain )*
+Plain <- Id ( ':' Test )? !'='
+Presets <- Preset ( ',' Preset )*
+Preset <- Id ( ':' Test )? '=' Test
+Starred <- ( '*' Id ( ':' StarTest )? ( ',' KeyOnly )* / '*' ( ',' KeyOnly )+ ) ( ',' Keywords )? / Keywords
+KeyOnly <- Id ( ':' Test )? ( '=' Test )?
+Keywords <- '**' Id ( ':' Test )?
 For <- 'for' Targets 'in' StarTests
 With <- 'with' ( '(' WithItem ( ',' WithItem )* ','? ')' &':' / WithItem ( ',' WithItem )* )
 WithItem <- Test ( 'as' Target )?
@@ -287,7 +306,8 @@ Dotted <- DottedName ( 'as' Id )?
 DottedName <- Id ( '.' Id )*
 ImportAs <- Id ( 'as' Id )?
 TypeAlias <- 'type' Id TypeParams? '=' Test
-Assignment <- Target ':' Test ( '=' ( Yield / StarTests ) )? / ( Targets '=' !'=' )+ ( Yield / StarTests ) / Target AUGASSIGN ( Yield / StarTests )
+Assignment <- OneTarget ':' Test ( '=' ( Yield / StarTests ) )? / ( Targets '=' !'=' )+ ( Yield / StarTests ) / OneTarget AUGASSIGN ( Yield / StarTests )
+OneTarget <- Atom Trailer* TargetEnd / Id !TrailStart / '(' OneTarget ')' !TrailStart
 Targets <- StarTarget ( ',' StarTarget )* ','?
 StarTarget <- '*'? Target
 Target <- '(' Targets? ')' !TrailStart / '[' Targets? ']' !TrailStart / Atom Trailer* TargetEnd / Id !TrailStart
@@ -300,8 +320,15 @@ StarTest <- '*' Binary / Named
 StarNamed <- StarTest ( ',' StarTest )* ','?
 Named <- Id ':=' Test / Test
 Test <- Lambda / Or ( 'if' Or 'else' Test )?
-Lambda <- 'lambda' ( LambdaParam ( ',' LambdaParam )* ','? )? ':' Test
-LambdaParam <- '**' Id / '*' Id / '*' &',' / '/' / Id ( '=' Test )?
+Lambda <- 'lambda' LambdaParams? ':' Test
+LambdaParams <- ( LLeading ( ',' LStarred )? / LStarred ) ','?
+LLeading <- LPlains ',' '/' ( ',' LPlain )* ( ',' LPreset )* / LPlains ( ',' LPreset )+ ',' '/' ( ',' LPreset )* / LPresets ( ',' '/' ( ',' LPreset )* )? / LPlains ( ',' LPreset )*
+LPlains <- LPlain ( ',' LPlain )*
+LPlain <- Id !'='
+LPresets <- LPreset ( ',' LPreset )*
+LPreset <- Id '=' Test
+LStarred <- ( '*' Id ( ',' LKeyOnly )* / '*' ( ',' LKeyOnly )+ ) ( ',' '**' Id )? / '**' Id
+LKeyOnly <- Id ( '=' Test )?
 Or <- And ( 'or' And )*
 And <- Not ( 'and' Not )*
 Not <- 'not' Not / Compare
@@ -312,8 +339,12 @@ Power <- 'await'? Primary ( '**' Unary )?
 Primary <- Atom ( '.' Id / '[' Slices ']' / '(' Args? ')' )*
 Slices <- Slice ( ',' Slice )* ','?
 Slice <- '*' Binary / Named? ':' Test? ( ':' Test? )? / Named
-Args <- Arg ( ',' Arg )* ','?
-Arg <- '**' Test / '*' Test / Id '=' !'=' Test / Named Comp?
+Args <- Named Comp !',' / ( Places ( ',' Named1 )? / Named1 ) ','?
+Places <- Place ( ',' Place )*
+Place <- '*' Test / Named !'=' !'for'
+Named1 <- ( ByName ( ',' ( ByName / '*' Test ) )* ( ',' Mapped )? / Mapped )
+ByName <- Id '=' !'=' Test
+Mapped <- '**' Test ( ',' ( '**' Test / ByName ) )*
 Atom <- '(' ( Yield / StarTest ( Comp / ( ',' StarTest )* ','? ) )? ')' / '[' ( StarTest ( Comp / ( ',' StarTest )* ','? ) )? ']' / '{' ( DictItem ( Comp / ( ',' DictItem )* ','? ) / StarTest ( Comp / ( ',' StarTest )* ','? ) )? '}' / STR+ / NUM / '...' / 'None' / 'True' / 'False' / Id
 DictItem <- '**' Binary / Test ':' Test
 Comp <- ( 'async'? 'for' Targets 'in' Or ( 'if' CompIf )* )+

@@ -14,9 +14,14 @@ from collections.abc import Callable
 
 _LEX = re.compile(r"\s*(?:([A-Za-z_]\w*)\s*(<-)?|('[^']+')|(\{\w+\})|([/*+?&!()]))")
 NEWLINE, STOP = "\n", "\0"
-#: Calls that a parse may nest (they lie on the heap); a deeper text fails, as with parsers that have such a limit.
+#: Calls that a parse may nest (they lie on the heap).
 DEPTH = 300_000
 
+
+class TooDeep(Exception):
+    """A text nests deeper than DEPTH calls: there is no verdict on it."""
+
+
 Matcher = Callable[[int], int]
 
 
@@ -44,7 +49,7 @@ class Grammar:
         try:
             end = self._compiled[rule](0)
         except RecursionError:
-            return False, min(self._far, len(text))
+            raise TooDeep from None
         if end >= 0:
             while self._text[end] == NEWLINE:
                 end += 1

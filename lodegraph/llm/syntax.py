@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm import grammars
 from lodegraph.llm.batches import map_rows, spread
-from lodegraph.llm.peg import Grammar
+from lodegraph.llm.peg import Grammar, TooDeep
 
 EXTENSIONS = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "java": "java", "go": "go"}
 #: Known lines are forgotten when so many are held.
@@ -115,6 +115,10 @@ class Language:
         raise NotImplementedError
 
 
+#: Parts that were parsed before stand in a text of kinds as characters from this one on.
+FIRST_PART = chr(0xF0000)
+
+
 class Braced(Language):
     #: Classes that are lists of lines, so that lines may be checked one by one, and the rule of such a line.
     by_line: dict[str, str]
@@ -135,7 +139,7 @@ class Braced(Language):
     def part(self, found: frozenset) -> str:
         got = self._part_of.get(found)
         if got is None:
-            got = self._part_of[found] = chr(0xF0000 + len(self._part_of))
+            got = self._part_of[found] = chr(ord(FIRST_PART) + len(self._part_of))
             for c in found:
                 self.parts[c].add(got)
         return got
@@ -250,6 +254,10 @@ _REGEX = r"/(?![*/\s])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 _BEFORE_REGEX = r"(?:(?:=>|\.\.\.|[=(,:;!&|?{}\[+*%~^<>-]|(?<![\w$.])(?:return|typeof|case|in|of|else|do|void|delete|new|throw|await|yield)(?![\w$]))[^\S\n]*)"
 
 
+#: The head of a statement, behind which a slash begins a regular expression rather than divides.
+_HEAD = r"(?<![\w$.])(?:if|while|for|with)[^\S\n]*\((?:[^()\n/\"'`]|\((?:[^()\n/\"'`]|\([^()\n/\"'`]*\))*\))*\)[^\S\n]*"
+
+
 class Script(Braced):
     by_line = {"Block": "StmtList", "ClassBody": "ClassBody", "Module": "Module", "TypeBody": "TypeBody"}
 
@@ -262,10 +270,10 @@ class Script(Braced):
         classes = {
             "NAME": name, "KEYWORD": "".join(map(k.code, _JS_RESERVED.split())), "STR": "s", "NUM": "0", "TPL": "t", "RE": "r", "PRIV": "p", "NEVER": "",
             "ASSIGNOP": "".join(k.code(o) for o in _ASSIGN.split() if o in _JS_OPS.split()),
-            "BINOP": "".join(map(k.code, "|| && ?? | ^ & == != === !== < <= << + - * / % **".split())), "UNARYOP": "".join(map(k.code, "! ~ + - ++ --".split())),
+            "BINOP": "".join(map(k.code, "|| && ?? | ^ & == != === !== < <= << + - * / % **".split())), "UNARYOP": "".join(map(k.code, "! ~ + -".split())),
         }
         parts: dict[str, set[str]] = {c: set() for c in (*self.classes, "Pattern")}
-        pattern = rf"//[^\n]*|/\*[\s\S]*?\*/|\n|(?<![^\n]){_REGEX}|{_BEFORE_REGEX}{_REGEX}|{_STRING}|{_TEMPLATE}|#?(?:[^\W\d]|\$)[\w$]*|{_NUMBER}|\?\.(?!\d)|{_alternatives(_JS_OPS.replace('?. ', ''))}|\S"
+        pattern = rf"//[^\n]*|/\*[\s\S]*?\*/|\n|(?<![^\n]){_REGEX}|{_BEFORE_REGEX}{_REGEX}|{_HEAD}{_REGEX}|{_STRING}|{_TEMPLATE}|#?(?:[^\W\d]|\$)[\w$]*|{_NUMBER}|\?\.(?!\d)|{_alternatives(_JS_OPS.replace('?. ', ''))}|\S"
         super().__init__(Grammar(text, k.known, classes, parts), parts, pattern, k, "Module")
         self.types = types
         c = k.code
@@ -293,7 +301,7 @@ class Script(Braced):
         if t[-1] == "/" or (len(t) > 2 and "/" in t):  # an operator or word and the regular expression after it
             at = t.find("/")
             head = t[:at].strip()
-            return (self.kinds[head] if head else "") + "r"
+            return (self.kinds_of(head) if head else "") + "r"
         return "a" if c.isalpha() or c in "_$" or ord(c) > 127 and c.isidentifier() else None
 
     def _template(self, t: str) -> str | None:
@@ -386,7 +394,7 @@ class Java(Braced):
         pattern = rf'//[^\n]*|/\*[\s\S]*?\*/|\n|"""[ \t\f]*\n(?:[^"\\]|\\[\s\S]|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n]+?)\'|(?:[^\W\d]|\$)[\w$]*|{_NUMBER}|{_alternatives(_JAVA_OPS)}|\S'
         super().__init__(Grammar(text, k.known, classes, parts), parts, pattern, k, "Unit")
         c = k.code
-        self._h = {w: c(w) for w in ("class", ".", "interface", "record", "enum", "new", "switch", ")", "]", "=", "(", ",", "->", "@")}
+        self._h = {w: c(w) for w in ("class", ".", "interface", "record", "enum", "new", "switch", ")", "]", "=", "(", ",", "->", "@", "default")}
         self._class = re.compile(f"(?:^|[^{c('.')}]){c('class')}")
 
     def _classify(self, t: str) -> str | None:
@@ -403,7 +411,7 @@ class Java(Braced):
 
     def candidates(self, head: str, before: str, around: tuple[str, ...]) -> tuple[str, ...]:
         h = self._h
-        if before == h["]"]:
+        if before in (h["]"], h["default"]):
             return ("ArrayInit",)
         if before == h[")"] or before == h["->"]:
             if h["switch"] in head and before == h[")"]:
@@ -486,7 +494,9 @@ class Go(Braced):
                     at = i + 1
                     break
         own = head[at:]
-        if h["func"] in own:
+        last = own.rpartition(h[";"])[2]  # of several statements in a line the one at hand
+        func = last.rfind(h["func"])
+        if func >= 0 and not (before == "a" and any(c >= FIRST_PART for c in last[func:])):  # unless its body is there already
             return ("Block", "Literal")
         if self._typed.search(own):  # a composite literal may stand in a header where its type is spelled out
             return ("Literal", "Block")
@@ -499,6 +509,11 @@ class Go(Braced):
         return ("Literal", "Block")
 
 
+#: A number that a word of the language follows without a space ends where the word begins.
+_BEFORE_WORD = r"(?:\d[\d_]*\.?\d*|\.\d+)(?=(?:and|else|for|if|in|is|not|or)\b)"
+#: Whole numbers with leading zeros, which Python doesn't have.
+_ZERO_LED = re.compile(r"0[0_]*[1-9][\d_]*")
+
 # --- Python ---------------------------------------------------------------------------------------------------------
 class Python(Language):
     """Logical lines are parsed by the grammar (each shape once); suites by reducing the string of line classes."""
@@ -514,7 +529,7 @@ class Python(Language):
         }
         self.grammar = Grammar(text, k.known, classes, {})
         string = r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|' + r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|" + _STRING
-        self.pattern = re.compile(rf"\#[^\n]*|\\\n|\n[ \t\f]*|(?:[rRbBuUfFtT]{{1,2}})?(?:{string})|[^\W\d]\w*|{_NUMBER}|{_alternatives(_PY_OPS)}|[^\s]")
+        self.pattern = re.compile(rf"\#[^\n]*|\\\n|\n[ \t\f]*|(?:[rRbBuUfFtT]{{1,2}})?(?:{string})|[^\W\d]\w*|{_BEFORE_WORD}|{_NUMBER}|{_alternatives(_PY_OPS)}|[^\s]")
         self._open, self._close = "".join(map(c, "([{")), "".join(map(c, ")]}"))
         self._brackets = re.compile("[" + re.escape(self._open + self._close) + "]")
         self._shape: dict[str, tuple[str, int]] = {}
@@ -547,7 +562,7 @@ class Python(Language):
                 return "s" if self._fstring(t[len(prefix) :]) else None
             return "s"
         if c.isdigit() or (c == "." and len(t) > 1 and t[1].isdigit()):
-            return "0"
+            return None if _ZERO_LED.fullmatch(t) else "0"
         return "a" if c.isalpha() or c == "_" else None
 
     def _fstring(self, quoted: str) -> bool:
@@ -729,11 +744,21 @@ def claimed(path: str | None) -> str | None:
     return EXTENSIONS.get(name.rsplit(".", 1)[1].lower()) if "." in name else None
 
 
+def _fits(lang: str, text: str) -> bool:
+    try:
+        return language(lang).check(text) is None
+    except TooDeep:
+        return False
+
+
 def failure(lang: str, source: str) -> Failure | None:
     """Why a text isn't valid source, and where; None if it is valid."""
     text = source.replace("\r\n", "\n").replace("\r", "\n")
     text = text[1:] if text.startswith("﻿") else text
-    at = language(lang).check(text)
+    try:
+        at = language(lang).check(text)
+    except TooDeep:
+        return Failure(0, "too_deep")
     if at is None:
         return None
     line = text[text.rfind("\n", 0, at) + 1 :].split("\n", 1)[0]
@@ -742,7 +767,7 @@ def failure(lang: str, source: str) -> Failure | None:
         cause = "merge_conflict"
     elif _MARKUP.match(text):
         cause = "other_content"
-    elif any(language(other).check(text) is None for other in ("python", "java", "go", "typescript") if other != lang and not (lang == "javascript" and other == "typescript")):
+    elif any(_fits(other, text) for other in ("python", "java", "go", "typescript") if other != lang and not (lang == "javascript" and other == "typescript")):
         cause = "other_language"
     elif not text[at:].strip() or text[at:].count("\n") <= 1 and at > len(text) - 200:
         cause = "truncated_end"
@@ -761,7 +786,7 @@ def _judge(cols: dict[str, list]) -> dict[str, list]:
     out: dict[str, list] = {"wiki_id": cols["wiki_id"], "rel_path": cols["rel_path"], "language": langs, "valid": [], "fail_at": [], "fail_line": [], "cause": []}
     for lang, text in zip(langs, cols["source_text"]):
         bad = failure(lang, text) if lang and text is not None else None
-        out["valid"].append(None if lang is None or text is None else bad is None)
+        out["valid"].append(None if lang is None or text is None or (bad and bad.cause == "too_deep") else bad is None)
         out["fail_at"].append(bad and bad.at)
         out["fail_line"].append(bad and text.replace("\r\n", "\n").replace("\r", "\n").count("\n", 0, bad.at) + 1)
         out["cause"].append(bad and bad.cause)
@@ -771,7 +796,8 @@ def _judge(cols: dict[str, list]) -> dict[str, list]:
 def judge_files(nodes: DataFrame) -> DataFrame:
     """Every delivery of a file ('module' row, any case) with its verdict.
 
-    `language` is the one the extension names. Files of other extensions and null texts have no verdict (null); an
+    `language` is the one the extension names. Files of other extensions, null texts and texts nested too
+    deep to parse (cause 'too_deep') have no verdict (null); an
     empty text is judged like any other (a Go file needs its package clause). Positions count code points after line
     ends are brought to '\\n'. Extra columns are ignored; an empty table gives no rows.
     """

@@ -172,6 +172,251 @@ def test_invalid_files_dirty(spark):
     assert X.invalid_files(nodes_of(spark, [])).count() == 0
 
 
+MORE_GOOD = {
+    'javascript': [
+        'if (a) /re/.exec(b)\nelse x++',
+        'while(x) /a(b/.test(c)',
+        'for(;;) /]/.test(a)\n',
+        'x = a / b / c',
+        'let a, b = 1;',
+        'for (let i = 0, n = 3; i < n; i++) {}',
+        'for (const k in x) y(k)',
+        'for (const [k] of x) {}',
+        'a.b.c = d',
+        'a[0].b += 1',
+        '(a) = 1',
+        '(a.b) = 1',
+        '[a, b] = [b, a]',
+        '({a, b} = c)',
+        'a?.b.c',
+        '--a.b',
+        'a().b = 1',
+        'new A().b = 1',
+        'a`x`.b = 1',
+        'this.x = 1',
+        'x = y = z',
+        'x = a ? b : c = d',
+        '(async () => { await x })()',
+        'const f = async x => x',
+        'if (a) /x/.test(b); else y()',
+        'export const a = 1, b = 2;',
+        'a ||= b',
+        'i++',
+        'i--, j++',
+        'do x++; while (x < 5)',
+        'import.meta.url',
+        'this.a.b++',
+    ],
+    'java': [
+        '@interface X { String[] w() default {}; }',
+        'class A{ @B(value={}) int x; }',
+        'class A { void f() { a.b.c = 1; a[0]++; ++a; f(); a.f(); new B(); new B().c(); this.x = 1; super.f(); a.<T>f(); x.new B(); (a).b(); } }',
+        'class A { void f() { int[] a = {1}; List<String> b = c.d(); for (i = 0, j = 1; i < n; i++, j--) {} } }',
+        'class A { A() { this(1); } A(int a) { super(a); } }',
+        'class A { void f() { a.b[c] += d; a.f().g = 1; ((B) a).c(); new int[]{1}[0]++; B.super.f(); } }',
+        'class A { void f() { switch (a) { case 1 -> f(); default -> { g(); } } } }',
+        'class A { int x = y = 3; Runnable r = () -> a = b; }',
+        'class A { void f() { a.b(c -> d.e(c)); i++; --j; } }',
+    ],
+    'go': [
+        'package a\nvar c chan<- (<-chan int)\nfunc g() { go func() {}(); a, b := <-c, &T{X: 1}; a &^= b }\n',
+        'package a\nfunc g() { a, b := f(), &T{X: 1} }\n',
+        'package a\nfunc g() { go func() {}(); b := T{X: 1} }\n',
+        'package a\nfunc f() { for i, x := range y { a[i] = x }; x, ok := m[k]; if v, ok := m[k]; ok { g(v) }; switch t := x.(type) { case int: g(t) } }\n',
+        'package a\nvar f = func() int { return 1 }\n',
+        'package a\nfunc f() { go func(a struct{ x int }) { g(a) }(y) }\n',
+        'package a\nfunc f() T { return T{1} }\n',
+        'package a\nfunc f() {\n\tx := map[string]func() int{"a": func() int { return 1 }}\n\t_ = x\n}\n',
+        'package a\nfunc f() { select { case v := <-c: g(v); case d <- 1: } }\n',
+    ],
+    'python': [
+        'f(*a, 2, b=1, *c, **d)\n',
+        '(a, b) = 1\n',
+        'def f(a, b=1, *, c, d=2, **e): pass\n',
+        'x = 0o17 + 0 + 00 + 0_0 + 0.5 + 09.5 + 0j + 09e1 + 09j\n',
+        'a.b += 1\n',
+        'a[1] += 2\n',
+        'f(a for a in b)\n',
+        'f(a, *b, c=1)\n',
+        'lambda a, b=1, *c, d: 1\n',
+        'x: int = 3\n',
+        "print(*a, sep='')\n",
+        'f(**a, b=1)\n',
+        'del a, b[0], (c, d)\n',
+        'for a.b in c: pass\n',
+        'with a as (b, c): pass\n',
+        'async def f():\n  async with a as b: pass\n',
+        'def f(a, /, b): pass\n',
+        'x = yield\n',
+        'class A(B, metaclass=C): pass\n',
+        'class A(*b, **c): pass\n',
+        'f(a, *b, *c, d=1, *e, **g, h=2, **i)\n',
+        'f(x for x in y)\n',
+        'f((x for x in y), 1)\n',
+        'def f(*, a, b=1, **c): pass\n',
+        'def f(a, /, b=1, *c, d, e=2, **g): pass\n',
+        'def f(a=1, /, b=2): pass\n',
+        'lambda *a, b=1, **c: a\n',
+        'lambda: 1\n',
+        'x = lambda a, b=2, /, c=3: a\n',
+        'f(a := 1, b)\n',
+        'a.b: int = 1\n',
+        '(a): int = 1\n',
+        '(a.b) += 1\n',
+        '@f(a, b=1)\ndef g(): pass\n',
+        "print(f'{x!r}', 007j)\n",
+        'f(a)(b)[c].d = 1\n',
+        'x[a:b, ::c] = 1\n',
+        'def f(a: int = 1, *args: *T, **kw: int) -> None: pass\n',
+    ],
+}
+MORE_BAD = {
+    'python': [
+        'f(a=1, 2)\n',
+        '(a, b) += 1\n',
+        'def f(a=1, b): pass\n',
+        'x = 09\n',
+        'f(**a, *b)\n',
+        'f(**a, b)\n',
+        '[a] += 1\n',
+        'a, b += 1\n',
+        'lambda a=1, b: 1\n',
+        'def f(*a, *b): pass\n',
+        'def f(**a, b): pass\n',
+        'f() = 1\n',
+        '1 = x\n',
+        'None = 1\n',
+        'x + 1 = 2\n',
+        'def f(a, a=1, /, b): pass\n',
+        'f(a for a in b, c)\n',
+        'def f(/, a): pass\n',
+        'def f(a, *): pass\n',
+        'x = 0777\n',
+        'for 1 in x: pass\n',
+        'with a as 1: pass\n',
+        'del f()\n',
+        'import a.b as c.d\n',
+        'a = b = 1 = c\n',
+        "'a' = 1\n",
+        '(a) : int\n)',
+    ],
+    'javascript': [
+        'const a;',
+        '1 = x;',
+        'let b, const c;',
+        'f() = 1',
+        'a + b = c',
+        'for (const a;;) {}',
+        '++1',
+        'a++ = 1',
+        'x = {get a}',
+        "'a' = 1",
+        'if (a) else b',
+    ],
+    'java': [
+        'class A { void f() { x + 1; } }',
+        'class A { void f() { 1; } }',
+        'class A { void f() { a; } }',
+        'class A { void f() { "s"; } }',
+        'class A { void f() { 1 = x; } }',
+        'class A{ void f(){ f() = 1; } }',
+        'class A{ void f(){ a ? b : c; } }',
+    ],
+    'go': [
+        'package a\nfunc f() { 1 + 2 := 3 }\n',
+        'package a\nfunc f() { 1 := 3 }\n',
+        'package a\nfunc f() { a.b := 3 }\n',
+        'package a\nfunc f() { f() = ; }\n',
+        'package a\nfunc f() { a, := 1 }\n',
+    ],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(MORE_GOOD))
+def test_statements_and_targets(lang):
+    assert [t for t in MORE_GOOD[lang] if X.failure(lang, t)] == [] and [t for t in MORE_BAD[lang] if not X.failure(lang, t)] == []
+
+
+def python_program(rnd, depth=0):
+    """A random valid program: Python's own unparser writes what a random tree says."""
+    import ast
+
+    name = lambda: ast.Name(rnd.choice("abcd"), ast.Load())
+
+    def expr(d):
+        if d > 3:
+            return rnd.choice([name(), ast.Constant(rnd.choice([1, 2.5, "s", None, True]))])
+        e = lambda: expr(d + 1)
+        kind = rnd.randrange(11)
+        if kind == 0:
+            return ast.BinOp(e(), rnd.choice([ast.Add(), ast.Mult(), ast.Pow(), ast.MatMult()]), e())
+        if kind == 1:
+            return ast.Call(name(), [e(), ast.Starred(e(), ast.Load())], [ast.keyword("k", e()), ast.keyword(None, e())])
+        if kind == 2:
+            return ast.Lambda(ast.arguments([ast.arg("x")], [ast.arg("y")], ast.arg("z"), [ast.arg("w")], [e()], ast.arg("v"), [e()]), e())
+        if kind == 3:
+            return ast.IfExp(e(), e(), e())
+        if kind == 4:
+            return ast.ListComp(e(), [ast.comprehension(ast.Name("i", ast.Store()), e(), [e()], 0)])
+        if kind == 5:
+            return ast.Dict([e(), None], [e(), e()])
+        if kind == 6:
+            return ast.Subscript(name(), ast.Slice(e(), None, e()), ast.Load())
+        if kind == 7:
+            return ast.Compare(e(), [ast.NotIn(), ast.Lt()], [e(), e()])
+        if kind == 8:
+            return ast.JoinedStr([ast.Constant("t"), ast.FormattedValue(name(), -1, None)])
+        return rnd.choice([name(), ast.Constant(7), ast.Attribute(name(), "q", ast.Load()), ast.Tuple([e(), e()], ast.Load())])
+
+    def body(d):
+        return [stmt(d) for _ in range(rnd.randint(1, 3))]
+
+    def stmt(d):
+        kind = rnd.randrange(10) if d < 3 else rnd.randrange(4)
+        store = rnd.choice([ast.Name("a", ast.Store()), ast.Attribute(name(), "q", ast.Store()), ast.Subscript(name(), expr(2), ast.Store())])
+        if kind == 0:
+            return ast.Assign([store], expr(0))
+        if kind == 1:
+            return ast.AugAssign(store, ast.Sub(), expr(0))
+        if kind == 2:
+            return ast.Expr(expr(0))
+        if kind == 3:
+            return ast.AnnAssign(store, expr(2), expr(1), 0)
+        if kind == 4:
+            return ast.If(expr(1), body(d + 1), body(d + 1))
+        if kind == 5:
+            return ast.For(store, expr(1), body(d + 1), [])
+        if kind == 6:
+            return ast.Try(body(d + 1), [ast.ExceptHandler(name(), "e", body(d + 1))], [], body(d + 1))
+        if kind == 7:
+            return ast.With([ast.withitem(expr(1), store)], body(d + 1))
+        if kind == 8:
+            return ast.FunctionDef("f", ast.arguments([], [ast.arg("x")], None, [ast.arg("w")], [None], None, [expr(2)]), body(d + 1), [name()], None, type_params=[])
+        return ast.ClassDef("C", [name()], [ast.keyword("m", name())], body(d + 1), [], type_params=[])
+
+    return ast.unparse(ast.fix_missing_locations(ast.Module(body(depth), [])))
+
+
+def test_generated_programs_like_the_parser_of_the_language():
+    """Random programs, and the same with one character taken out or doubled: the verdict is that of Python's own parser."""
+    import ast
+
+    rnd = random.Random(12)
+    wrong = []
+    for _ in range(300):
+        text = python_program(rnd) + "\n"
+        at = rnd.randrange(len(text))
+        for variant in (text, text[:at] + text[at + 1 :], text[:at] + text[at] + text[at:]):
+            try:
+                ast.parse(variant)
+                ok = True
+            except (SyntaxError, ValueError):
+                ok = False
+            if ok != (X.failure("python", variant) is None):
+                wrong.append((ok, variant))
+    assert wrong == []
+
+
 # --- 4 --------------------------------------------------------------------------------------------------------------
 HAND = "\n".join(f"def handle_{w}(request):\n    value = request.read_{w}()\n    return value" for w in ("order", "invoice", "customer", "address", "payment", "basket"))
 GENERATED = "\n".join(f"def get_field_{i}(self):\n    return self._fields[{i}]" for i in range(12))
