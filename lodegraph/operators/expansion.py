@@ -125,10 +125,15 @@ def rank_documents(nodes: DataFrame, edges: DataFrame, topic: str, folders: list
 
 # --- Pages and links ------------------------------------------------------------------------------------------------
 def cocited(links: DataFrame) -> DataFrame:
-    """(page_a, page_b, n_shared): pages with common link targets. `links` has source and target, one row a pair."""
-    n = links.groupBy("target").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    side = lambda name: links.select("target", F.col("source").alias(name))
-    return L.group_pairs(side("page_a"), side("page_b"), ["target"], n).where("page_a < page_b").groupBy("page_a", "page_b").agg(F.count(F.lit(1)).alias("n_shared"))
+    """(page, class_id, n_targets, n_shared): one row a page that shares a link target with another.
+
+    Pages with the same targets are one class, named by its smallest page; n_shared counts, over the page's targets, the
+    other pages that have it. `links` has source and target, one row a pair; it is the membership the counts stand for.
+    """
+    n = links.groupBy("target").agg((F.count(F.lit(1)) - 1).alias("others"))
+    pages = links.join(n, "target").groupBy("source").agg(F.count(F.lit(1)).alias("n_targets"), F.sum("others").alias("n_shared"), F.array_join(F.sort_array(F.collect_set("target")), "\n").alias("targets")).where("n_shared > 0")
+    first = pages.groupBy("targets").agg(F.min("source").alias("class_id"))
+    return pages.join(first, "targets").select(F.col("source").alias("page"), "class_id", "n_targets", "n_shared")
 
 
 def rerank_pages(hits: DataFrame, links: DataFrame, n_pages: DataFrame) -> DataFrame:

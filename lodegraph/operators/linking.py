@@ -157,20 +157,58 @@ def group_pairs(left: DataFrame, right: DataFrame, keys: list[str], sizes: DataF
     return spread.join(copies, [*keys, "_block"]).drop("_block")
 
 
-def surface_links(surfaces: DataFrame, other_language: bool = True, other_repository: bool = False) -> DataFrame:
-    """Pairs of nodes with the same surface, weighted by how few share it: clamp(0.7 * mean hint * locality / ln(1 + n)).
+_SURFACE = ["kind", "surface"]
 
-    Every pair is a link, however many nodes share the surface; `shared_surfaces` counts them.
+
+def surface_links(surfaces: DataFrame, other_language: bool = True) -> DataFrame:
+    """Links between nodes of the same surface, one row a pair of language classes of a surface.
+
+    A class is all nodes of a surface in one language; (source_id, target_id) are its smallest ids, n_links says how many
+    pairs of nodes the row stands for, and `surface_members` lists the nodes. weight is that of the strongest of them:
+    clamp(0.7 * hint * locality / ln(1 + nodes of the surface)). With other_language=False a class is also linked with
+    itself (source and target are then its smallest and largest id). No pairs of nodes are made: a surface has as many
+    rows as pairs of languages, and the nodes of a hot surface are only counted.
     """
-    n = surfaces.groupBy("kind", "surface").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    side = lambda s: surfaces.select("kind", "surface", *[F.col(c).alias(f"{s}_{c}") for c in ("node_id", "language", "wiki_id", "rel_path", "weight_hint")])
-    pairs = group_pairs(side("a"), side("b"), ["kind", "surface"], n).where("a_node_id < b_node_id")
-    if other_language:
-        pairs = pairs.where("a_language <> b_language")
-    if other_repository:
-        pairs = pairs.where("a_wiki_id <> b_wiki_id")
-    base = 0.7 * (F.col("a_weight_hint") + F.col("b_weight_hint")) / 2 * X.locality(F.col("a_rel_path"), F.col("b_rel_path")) / F.log(1.0 + F.col("n"))
-    return pairs.select(F.col("a_node_id").alias("source_id"), F.col("b_node_id").alias("target_id"), "kind", "surface", F.least(F.lit(0.8), F.greatest(F.lit(0.3), base)).alias("weight"), F.col("a_wiki_id").alias("wiki_a"), F.col("b_wiki_id").alias("wiki_b"))
+    per = surfaces.groupBy(*_SURFACE, "language").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("rel_path") != "", 1)).alias("placed"), F.min("node_id").alias("first"), F.max("node_id").alias("last"), F.max("weight_hint").alias("hint")
+    )
+    whole = per.groupBy(*_SURFACE).agg(F.sum("n").alias("nodes"), F.collect_list(F.struct("language", "n", "placed", "first", "last", "hint")).alias("classes")).where("nodes > 1")
+    below = lambda a, b: F.col(a) < F.col(b) if other_language else F.col(a) <= F.col(b)
+    pairs = whole.withColumn("a", F.explode("classes")).withColumn("b", F.explode("classes")).where(below("a.language", "b.language"))
+    # Top folders that two classes share, or two nodes of one class.
+    top = surfaces.where("rel_path <> ''").groupBy(*_SURFACE, F.element_at(F.split("rel_path", "/"), 1).alias("top"), "language").agg(F.count(F.lit(1)).alias("n"))
+    tops = top.groupBy(*_SURFACE, "top").agg(F.collect_list(F.struct("language", "n")).alias("classes"))
+    near = tops.withColumn("a", F.explode("classes")).withColumn("b", F.explode("classes")).where(below("a.language", "b.language") & ((F.col("a.language") != F.col("b.language")) | (F.col("a.n") > 1)))
+    near = near.select(*_SURFACE, F.col("a.language").alias("language_a"), F.col("b.language").alias("language_b"), F.lit(True).alias("near")).distinct()
+    same = F.col("a.language") == F.col("b.language")
+    rows = pairs.select(
+        *_SURFACE, "nodes", F.col("a.language").alias("language_a"), F.col("b.language").alias("language_b"), F.col("a.first").alias("source_id"), F.when(same, F.col("b.last")).otherwise(F.col("b.first")).alias("target_id"),
+        F.when(same, F.col("a.n") * (F.col("a.n") - 1) / 2).otherwise(F.col("a.n") * F.col("b.n")).cast("long").alias("n_links"),
+        F.when(same, F.col("a.placed") > 1).otherwise((F.col("a.placed") > 0) & (F.col("b.placed") > 0)).alias("both_placed"), ((F.col("a.hint") + F.col("b.hint")) / 2).alias("hint"),
+    ).where("n_links > 0").join(near, [*_SURFACE, "language_a", "language_b"], "left")
+    locality = F.when(F.col("near"), 1.0).when(F.col("both_placed"), 0.7).otherwise(0.5)
+    return rows.select(*_SURFACE, "language_a", "language_b", "source_id", "target_id", "n_links", _link_weight(F.col("hint"), locality, F.col("nodes")).alias("weight"))
+
+
+def _link_weight(hint, locality, nodes):
+    return F.least(F.lit(0.8), F.greatest(F.lit(0.3), 0.7 * hint * locality / F.log(1.0 + nodes)))
+
+
+def surface_members(surfaces: DataFrame) -> DataFrame:
+    """One row a node and surface: its class (kind, surface, language), and how many nodes of other languages and of other repositories it is linked with."""
+    keys = [*_SURFACE, "language", "wiki_id"]
+    n = surfaces.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy(*_SURFACE).agg(F.sum("n").alias("n"))
+    by = lambda c: n.groupBy(*_SURFACE, c).agg(F.sum("n").alias("own"))
+    many = total.where("n > 1")
+    rows = surfaces.join(many, _SURFACE).join(by("language").withColumnRenamed("own", "same_language"), [*_SURFACE, "language"]).join(by("wiki_id").withColumnRenamed("own", "same_repository"), [*_SURFACE, "wiki_id"])
+    return rows.select("node_id", *_SURFACE, "language", "wiki_id", (F.col("n") - F.col("same_language")).alias("n_other_language"), (F.col("n") - F.col("same_repository")).alias("n_other_repository"))
+
+
+def member_surfaces(nodes: DataFrame) -> DataFrame:
+    """(node_id, kind, surface, weight_hint): members by their parent's snake-cased name and their own, so that members of like parents meet."""
+    name = F.concat_ws(".", X.snake_case(F.element_at(F.split("parent_symbol", r"[.:]+"), -1)), X.snake_case(F.col("symbol_name")))
+    return nodes.where("parent_symbol <> '' and symbol_name <> ''").select("node_id", "wiki_id", "language", "rel_path", F.lit("member").alias("kind"), name.alias("surface"), F.lit(0.3).alias("weight_hint")).where("surface not like '.%' and surface not like '%.'")
 
 
 def shared_surfaces(surfaces: DataFrame) -> DataFrame:
@@ -214,15 +252,28 @@ def repository_pairs(features: DataFrame) -> DataFrame:
     return ids.select(F.col("wiki_id").alias("wiki_a")).join(F.broadcast(ids.select(F.col("wiki_id").alias("wiki_b"))), F.col("wiki_a") < F.col("wiki_b"))
 
 
-def linked_pairs(links: DataFrame) -> DataFrame:
-    """The repository pairs (wiki_a < wiki_b) that occur among links: the only ones whose score a link needs."""
-    return links.where("wiki_a <> wiki_b").select(F.least("wiki_a", "wiki_b").alias("wiki_a"), F.greatest("wiki_a", "wiki_b").alias("wiki_b")).distinct()
+def repository_links(surfaces: DataFrame) -> DataFrame:
+    """(wiki_a, wiki_b, n_surfaces, n_links, weight): repositories whose nodes share surfaces, wiki_a < wiki_b.
+
+    The nodes of a surface in one repository are one class; n_links counts the pairs of nodes, weight is that of the
+    strongest. Classes of a surface that many repositories share are paired in blocks, and summed where they are made.
+    """
+    top = F.when(F.col("rel_path") != "", F.element_at(F.split("rel_path", "/"), 1))
+    per = surfaces.where("wiki_id is not null").groupBy(*_SURFACE, "wiki_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set(top).alias("tops"), F.max("weight_hint").alias("hint"))
+    sizes = per.groupBy(*_SURFACE).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("nodes")).where("n > 1")
+    side = lambda s: per.select(*_SURFACE, *[F.col(c).alias(f"{c}_{s}") for c in ("wiki_id", "n", "tops", "hint")])
+    pairs = group_pairs(side("a"), side("b"), _SURFACE, sizes.drop("nodes")).where("wiki_id_a < wiki_id_b").join(sizes.select(*_SURFACE, "nodes"), _SURFACE)
+    locality = F.when(F.arrays_overlap("tops_a", "tops_b"), 1.0).when((F.size("tops_a") > 0) & (F.size("tops_b") > 0), 0.7).otherwise(0.5)
+    return pairs.groupBy(F.col("wiki_id_a").alias("wiki_a"), F.col("wiki_id_b").alias("wiki_b")).agg(
+        F.count(F.lit(1)).alias("n_surfaces"), F.sum(F.col("n_a") * F.col("n_b")).alias("n_links"), F.max(_link_weight((F.col("hint_a") + F.col("hint_b")) / 2, locality, F.col("nodes"))).alias("weight")
+    )
 
 
 def cross_repository(links: DataFrame, scores: DataFrame, least: float = 0.15, damping: float = 0.7) -> DataFrame:
-    """Links between repositories related enough, weighted by clamp01(weight * damping * score); one row an ordered pair of nodes."""
-    low, high = F.least("wiki_a", "wiki_b"), F.greatest("wiki_a", "wiki_b")
-    keyed = links.withColumns({"wiki_lo": low, "wiki_hi": high})
-    rows = keyed.join(scores.select(F.col("wiki_a").alias("wiki_lo"), F.col("wiki_b").alias("wiki_hi"), "score"), ["wiki_lo", "wiki_hi"]).where(F.col("score") >= least)
+    """Links between repositories related enough, one row a pair of repositories; the strongest weighs clamp01(weight * damping * score).
+
+    The nodes are those of `surface_members`: two are linked if they share a surface and their repositories are in a row.
+    """
+    rows = links.join(scores.select("wiki_a", "wiki_b", "score"), ["wiki_a", "wiki_b"]).where(F.col("score") >= least)
     weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("weight") * damping * F.col("score")))
-    return rows.groupBy("source_id", "target_id").agg(F.round(F.max(weight), 6).alias("weight")).withColumn("edge_class", F.lit("cross_repo"))
+    return rows.select("wiki_a", "wiki_b", "n_surfaces", "n_links", F.round(weight, 6).alias("weight"), F.lit("cross_repo").alias("edge_class"))

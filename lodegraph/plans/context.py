@@ -112,10 +112,11 @@ def page_backlinks(s, d):
 
 @query(
     "page_cocitation",
-    f"with {_LINK}, k as (select target from lk group by 1 having count(*) between 2 and 50) select a.source as page_a, b.source as page_b, count(*) as n_shared from lk a join lk b on a.target = b.target and a.source < b.source where a.target in (select target from k) group by 1, 2",
+    f"""with {_LINK}, k as (select target, count(*) - 1 as others from lk group by 1), p as (select source as page, count(*) as n_targets, cast(sum(others) as bigint) as n_shared, string_agg(lk.target, chr(10) order by lk.target) as targets from lk join k on k.target = lk.target group by 1)
+select page, min(page) over (partition by targets) as class_id, n_targets, n_shared from p where n_shared > 0""",
 )
 def page_cocitation(s, d):
-    """Pages that share link targets, however many pages share one. The SQL leaves out targets of more than 50 pages."""
+    """Pages that share link targets, with the class of pages of the same targets; `page_link_graph` has the targets of each."""
     return E.cocited(page_links(s, d))
 
 

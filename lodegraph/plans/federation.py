@@ -11,8 +11,8 @@ from lodegraph.operators import enrichment as R
 from lodegraph.operators import graph as G
 from lodegraph.operators import linking as L
 from lodegraph.operators import traverse as P
-from lodegraph.plans.context import page_cocitation
-from lodegraph.plans.linkage import cross_repository_edges
+from lodegraph.plans.context import page_links
+from lodegraph.plans.linkage import CLASS_LINKS, SURFACES, cross_repository_edges
 from lodegraph.plans.prelude import WITH, WITHR
 from lodegraph.sources.bundles import pages_as_markdown
 from lodegraph.sources.tables import table
@@ -42,18 +42,21 @@ def folder_clusters(s, d):
 
 @query("document_clusters")
 def document_clusters(s, d):
-    """Communities of documents that share link targets; documents without shared targets are left out."""
-    pairs = page_cocitation(s, d).select(F.lit("docs").alias("part"), F.col("page_a").cast("string").alias("a"), F.col("page_b").cast("string").alias("b"), F.col("n_shared").cast("double").alias("w"))
-    nodes = pairs.select("part", F.explode(F.array("a", "b")).alias("node")).distinct()
-    return C.renumber(C.louvain(nodes, pairs.select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w"), 1.0, 1)).select(F.col("node").alias("doc_id"), "cluster")
+    """Communities of documents over the targets they link: documents and targets are both nodes, so a target that many share costs a link each. Documents that share no target are left out."""
+    links = page_links(s, d)
+    shared = links.join(links.groupBy("target").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("target"), "target", "left_semi")
+    ends = shared.select(F.lit("docs").alias("part"), F.concat(F.lit("d:"), F.col("source").cast("string")).alias("a"), F.concat(F.lit("t:"), F.col("target")).alias("b"), F.lit(1.0).alias("w"))
+    nodes = ends.select("part", F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = C.renumber(C.louvain(nodes, ends, 1.0, 1))
+    return found.where("node like 'd:%'").select(F.substring("node", 3, 20).alias("doc_id"), "cluster")
 
 
 @query("project_communities")
 def project_communities(s, d):
-    """Communities of nodes over the edges between repositories."""
-    e = cross_repository_edges(s, d).select(F.lit("project").alias("part"), F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), F.col("weight").alias("w"))
+    """Communities of repositories over the links between them."""
+    e = cross_repository_edges(s, d).select(F.lit("project").alias("part"), F.col("wiki_a").alias("a"), F.col("wiki_b").alias("b"), (F.col("weight") * F.col("n_surfaces")).alias("w"))
     nodes = e.select("part", F.explode(F.array("a", "b")).alias("node")).distinct()
-    return C.renumber(C.louvain(nodes, e, 1.0, 1)).select(F.col("node").alias("node_id"), "cluster")
+    return C.renumber(C.louvain(nodes, e, 1.0, 1)).select(F.col("node").alias("wiki_id"), "cluster")
 
 
 @query(
@@ -120,6 +123,6 @@ def pages_markdown(s, d):
     return pages_as_markdown(t.select(F.col("doc_id").alias("page_id"), "title", "wiki_id", F.col("text").alias("content")))
 
 
-@query("surface_links_all_languages")
+@query("surface_links_all_languages", f"{WITH}, {SURFACES}, " + CLASS_LINKS.format(order="<=", distinct="a.node_id <> b.node_id"))
 def surface_links_all_languages(s, d):
-    return L.surface_links(L.name_surfaces(G.nodes_view(table(s, d, "repo_nodes"))), other_language=False).select("source_id", "target_id", "surface", F.round("weight", 6).alias("weight"))
+    return L.surface_links(L.name_surfaces(G.nodes_view(table(s, d, "repo_nodes"))), other_language=False).drop("kind").withColumn("weight", F.round("weight", 6))

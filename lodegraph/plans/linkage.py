@@ -112,14 +112,36 @@ def surface_specificity(s, d):
     return L.shared_surfaces(L.name_surfaces(_n(s, d))).withColumn("specificity", F.round("specificity", 6))
 
 
-_LINKS = f"""ct as (select kind, surface, count(*) as k from sf group by 1, 2 having count(*) between 2 and 50), lk as (select a.node_id as source_id, b.node_id as target_id, a.surface, a.wiki_id as wiki_a, b.wiki_id as wiki_b, a.language as la, b.language as lb,
-least(0.8, greatest(0.3, 0.7 * 0.3 * (case when coalesce(a.rel_path, '') = '' or coalesce(b.rel_path, '') = '' then 0.5 when {_PART.format(p='a.rel_path')} = {_PART.format(p='b.rel_path')} then 1.0 else 0.7 end) / ln(1.0 + k))) as weight
-from sf a join sf b on a.kind = b.kind and a.surface = b.surface and a.node_id < b.node_id join ct on ct.kind = a.kind and ct.surface = a.surface)"""
+SURFACES = _SURF
+_LOCAL = f"case when coalesce(a.rel_path, '') = '' or coalesce(b.rel_path, '') = '' then 0.5 when {_PART.format(p='a.rel_path')} = {_PART.format(p='b.rel_path')} then 1.0 else 0.7 end"
+_WEIGHT = f"least(0.8, greatest(0.3, 0.7 * 0.3 * ({_LOCAL}) / ln(1.0 + k)))"
+_COUNT = "ct as (select kind, surface, count(*) as k from sf group by 1, 2 having count(*) > 1)"
+#: All pairs of nodes of a surface, counted for each pair of languages.
+CLASS_LINKS = _COUNT + f""", pr as (select a.surface, a.language as language_a, b.language as language_b, a.node_id as na, b.node_id as nb, {_WEIGHT} as weight from sf a join sf b on a.kind = b.kind and a.surface = b.surface and a.language {{order}} b.language and {{distinct}} join ct on ct.kind = a.kind and ct.surface = a.surface)
+select surface, language_a, language_b, min(na) as source_id, case when language_a = language_b then max(nb) else min(nb) end as target_id, case when language_a = language_b then count(*) // 2 else count(*) end as n_links, round(max(weight), 6) as weight from pr group by 1, 2, 3"""
 
 
-@query("link_cross_language", f"{WITH}, {_SURF}, {_LINKS} select source_id, target_id, surface, round(weight, 6) as weight from lk where la <> lb")
+@query("link_cross_language", f"{WITH}, {_SURF}, " + CLASS_LINKS.format(order="<", distinct="true"))
 def link_cross_language(s, d):
-    return L.surface_links(L.name_surfaces(_n(s, d))).select("source_id", "target_id", "surface", F.round("weight", 6).alias("weight"))
+    """Links across languages, a row a pair of language classes of a surface; `surface_members` has the nodes."""
+    return L.surface_links(L.name_surfaces(_n(s, d))).drop("kind").withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "surface_members",
+    f"{WITH}, {_SURF} select a.node_id, a.kind, a.surface, a.language, a.wiki_id, count(case when b.language <> a.language then 1 end) as n_other_language, count(case when b.wiki_id <> a.wiki_id then 1 end) as n_other_repository from sf a join sf b on a.kind = b.kind and a.surface = b.surface group by 1, 2, 3, 4, 5 having count(*) > 1",
+)
+def surface_members(s, d):
+    return L.surface_members(L.name_surfaces(_n(s, d)))
+
+
+_MEMBERS = "sf as (select * from (select node_id, wiki_id, language, rel_path, 'member' as kind, " + _SNAKE.format(c="regexp_extract(parent_symbol, '([^.:]*)$', 1)") + " || '.' || " + _SNAKE.format(c="symbol_name") + " as surface from n where parent_symbol <> '' and symbol_name <> '') where not starts_with(surface, '.') and not ends_with(surface, '.'))"
+
+
+@query("link_members", f"{WITH}, {_MEMBERS}, " + CLASS_LINKS.format(order="<", distinct="true"))
+def link_members(s, d):
+    """Members of the same name under parents of the same name, across languages."""
+    return L.surface_links(L.member_surfaces(_n(s, d))).drop("kind").withColumn("weight", F.round("weight", 6))
 
 
 @query("api_rest_surfaces")
@@ -132,29 +154,30 @@ _FEAT = f"""nm as (select wiki_id, list(symbol_name) as names from (select wiki_
 dp as (select wiki_id, array_to_string(list_slice(string_split(rel_path, '/'), 1, least(2, len(string_split(rel_path, '/')) - 1)), '/') as dep, language, case when symbol_type = 'struct' then {_SNAKE.format(c='symbol_name')} end as api from n),
 ft as (select dp.wiki_id, list(distinct language) filter (language <> '') as languages, list(distinct dep) filter (dep is not null) as deps, list(distinct api) filter (api is not null) as apis, any_value(names) as names from dp left join nm on nm.wiki_id = dp.wiki_id group by 1)"""
 _J = "case when len(list_distinct(list_concat(coalesce(a.{c}, []), coalesce(b.{c}, [])))) > 0 then len(list_intersect(coalesce(a.{c}, []), coalesce(b.{c}, []))) / len(list_distinct(list_concat(coalesce(a.{c}, []), coalesce(b.{c}, [])))) else 0 end"
-_REL = f"""w as (select wiki_id from ft order by 1 limit 50), rl as (select a.wiki_id as wiki_a, b.wiki_id as wiki_b, {_J.format(c='languages')} as lang, {_J.format(c='deps')} as dep,
+_REL = f"""rl as (select a.wiki_id as wiki_a, b.wiki_id as wiki_b, {_J.format(c='languages')} as lang, {_J.format(c='deps')} as dep,
 case when least(len(coalesce(a.apis, [])), len(coalesce(b.apis, []))) > 0 then len(list_intersect(a.apis, b.apis)) / least(len(a.apis), len(b.apis)) else 0 end as api, {_J.format(c='names')} as naming,
 len(list_intersect(coalesce(a.languages, []), coalesce(b.languages, []))) > 0 or len(list_intersect(coalesce(a.apis, []), coalesce(b.apis, []))) > 0 as overlap
-from ft a join ft b on a.wiki_id < b.wiki_id where a.wiki_id in (select wiki_id from w) and b.wiki_id in (select wiki_id from w)),
+from ft a join ft b on a.wiki_id < b.wiki_id),
 sc as (select wiki_a, wiki_b, round(case when overlap then least(1.0, 0.30 * lang + 0.20 * dep + 0.30 * api + 0.20 * naming) else 0 end, 6) as score, round(lang, 6) as lang, round(dep, 6) as dep, round(api, 6) as api, round(naming, 6) as naming from rl)"""
 
 
 @query("repository_relatedness", f"{WITH}, {_FEAT}, {_REL} select * from sc")
 def repository_relatedness(s, d):
-    """Scores of all repository pairs. The SQL keeps to the first 50 repositories, so it tells less where there are more."""
+    """Scores of all repository pairs."""
     f = L.repository_features(_n(s, d))
     return L.relatedness(f, L.repository_pairs(f))
 
 
 @query(
     "cross_repository_edges",
-    f"{WITH}, {_SURF}, {_LINKS}, {_FEAT}, {_REL} select source_id, target_id, round(max(greatest(0.0, least(1.0, weight * 0.7 * score))), 6) as weight, 'cross_repo' as edge_class from lk join sc on sc.wiki_a = least(lk.wiki_a, lk.wiki_b) and sc.wiki_b = greatest(lk.wiki_a, lk.wiki_b) where lk.wiki_a <> lk.wiki_b and score >= 0.15 group by 1, 2",
+    f"""{WITH}, {_SURF}, {_COUNT}, {_FEAT}, {_REL}, lk as (select a.wiki_id as wiki_a, b.wiki_id as wiki_b, a.surface, {_WEIGHT} as weight from sf a join sf b on a.kind = b.kind and a.surface = b.surface and a.wiki_id < b.wiki_id join ct on ct.kind = a.kind and ct.surface = a.surface)
+select lk.wiki_a, lk.wiki_b, count(distinct surface) as n_surfaces, count(*) as n_links, round(max(greatest(0.0, least(1.0, weight * 0.7 * score))), 6) as weight, 'cross_repo' as edge_class from lk join sc on sc.wiki_a = lk.wiki_a and sc.wiki_b = lk.wiki_b where score >= 0.15 group by 1, 2""",
 )
 def cross_repository_edges(s, d):
-    """Links between all related repositories. The SQL keeps to the first 50 repositories, so it tells less where there are more."""
+    """Links between all related repositories, a row a pair of repositories; `surface_members` has the nodes."""
     n = _n(s, d)
-    links = L.surface_links(L.name_surfaces(n), other_language=False, other_repository=True)
-    return L.cross_repository(links, L.relatedness(L.repository_features(n), L.linked_pairs(links)))
+    links = L.repository_links(L.name_surfaces(n))
+    return L.cross_repository(links, L.relatedness(L.repository_features(n), links))
 
 
 @query("project_references", f"{WITH} select p.project_id, p.node_id, count(distinct e.id) as n_edges, count(distinct e.wiki_id) as n_repositories from project_nodes p left join e on e.target_id = p.node_id group by 1, 2")

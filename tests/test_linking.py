@@ -34,8 +34,10 @@ def test_routes_and_surfaces(spark):
 def test_surface_links(spark):
     rows = [("a", "w", "py", "x/a", "rest", "GET /u", 0.8), ("b", "w", "js", "x/b", "rest", "GET /u", 0.8), ("c", "v", "py", "y/c", "rest", "GET /u", 0.8), ("d", "w", "py", None, "rest", "GET /v", 0.8)]
     s = spark.createDataFrame(rows, "node_id string, wiki_id string, language string, rel_path string, kind string, surface string, weight_hint double")
-    assert {(r.source_id, r.target_id) for r in L.surface_links(s).collect()} == {("a", "b"), ("b", "c")}
-    assert {(r.source_id, r.target_id) for r in L.surface_links(s, False, True).collect()} == {("a", "c"), ("b", "c")}
+    assert [(r.language_a, r.language_b, r.source_id, r.target_id, r.n_links) for r in L.surface_links(s).collect()] == [("js", "py", "b", "a", 2)]
+    assert {(r.language_a, r.language_b, r.n_links) for r in L.surface_links(s, False).collect()} == {("js", "py", 2), ("py", "py", 1)}
+    assert {r.node_id: (r.n_other_language, r.n_other_repository) for r in L.surface_members(s).collect()} == {"a": (1, 1), "b": (2, 1), "c": (1, 2)}
+    assert [(r.wiki_a, r.wiki_b, r.n_surfaces, r.n_links) for r in L.repository_links(s).collect()] == [("v", "w", 1, 2)]
     links = spark.createDataFrame([("a", "b", "* /u"), ("a", "b", "GET /u"), ("a", "c", "* /u"), ("a", "d", "* /z")], "source_id string, target_id string, surface string")
     left = {(r.source_id, r.target_id, r.surface) for r in R.without_verbless_twins(links).collect()}
     assert left == {("a", "b", "GET /u"), ("a", "c", "* /u"), ("a", "d", "* /z")}
@@ -46,16 +48,23 @@ def test_links_of_a_surface_that_many_share(spark, monkeypatch):
     rows = [(f"n{i:02}", "v" if i % 3 else "w", "py" if i % 2 else "js", f"x/n{i}", "name", "init", 0.3) for i in range(60)]
     s = spark.createDataFrame(rows, "node_id string, wiki_id string, language string, rel_path string, kind string, surface string, weight_hint double")
     pairs = [(a, b) for a in rows for b in rows if a[0] < b[0]]
-    made = lambda *how: sorted((r.source_id, r.target_id) for r in L.surface_links(s, *how).collect())
-    assert made(False) == sorted((a[0], b[0]) for a, b in pairs)
-    assert made(True) == sorted((a[0], b[0]) for a, b in pairs if a[2] != b[2])
-    assert made(False, True) == sorted((a[0], b[0]) for a, b in pairs if a[1] != b[1])
+    assert [(r.language_a, r.language_b, r.n_links) for r in L.surface_links(s).collect()] == [("js", "py", sum(a[2] != b[2] for a, b in pairs))]
+    assert sum(r.n_links for r in L.surface_links(s, False).collect()) == len(pairs)
+    assert [(r.n_surfaces, r.n_links) for r in L.repository_links(s).collect()] == [(1, sum(a[1] != b[1] for a, b in pairs))]
+    assert sum(r.n_other_language for r in L.surface_members(s).collect()) == 2 * sum(a[2] != b[2] for a, b in pairs)
+
+
+def test_members_of_like_parents(spark):
+    rows = [{"node_id": "a", "language": "python", "parent_symbol": "UserStore", "symbol_name": "load_all"}, {"node_id": "b", "language": "java", "parent_symbol": "app.UserStore", "symbol_name": "loadAll"}, {"node_id": "c", "language": "java", "parent_symbol": "OtherStore", "symbol_name": "loadAll"}]
+    got = L.surface_links(L.member_surfaces(nodes(spark, rows))).collect()
+    assert [(r.surface, r.source_id, r.target_id, r.n_links) for r in got] == [("user_store.load_all", "b", "a", 1)]
 
 
 def test_pages_of_a_target_that_many_share(spark):
     k = spark.createDataFrame([(i, "hot/read.me") for i in range(60)] + [(i, "a/b.py") for i in (3, 57)] + [(9, "only/one.py")], "source long, target string")
-    got = {(r.page_a, r.page_b): r.n_shared for r in E.cocited(k).collect()}
-    assert got == {(a, b): 2 if (a, b) == (3, 57) else 1 for a in range(60) for b in range(a + 1, 60)}
+    got = {r.page: (r.class_id, r.n_targets, r.n_shared) for r in E.cocited(k).collect()}
+    want = {i: (0, 1, 59) for i in range(60)} | {3: (3, 2, 60), 57: (3, 2, 60), 9: (9, 2, 59)}
+    assert got == want
 
 
 def test_all_repositories_are_scored(spark):
@@ -63,8 +72,8 @@ def test_all_repositories_are_scored(spark):
     n = nodes(spark, rows)
     f = L.repository_features(n)
     assert {(r.wiki_a, r.wiki_b) for r in L.relatedness(f, L.repository_pairs(f)).collect()} == {(f"w{a:02}", f"w{b:02}") for a in range(60) for b in range(a + 1, 60)}
-    links = L.surface_links(L.name_surfaces(n), other_language=False, other_repository=True)
-    assert {(r.source_id, r.target_id) for r in L.cross_repository(links, L.relatedness(f, L.linked_pairs(links))).collect()} == {("n58", "n59")}
+    links = L.repository_links(L.name_surfaces(n))
+    assert [(r.wiki_a, r.wiki_b, r.n_links) for r in L.cross_repository(links, L.relatedness(f, links)).collect()] == [("w58", "w59", 1)]
 
 
 def test_upsert_and_surfaces_of_all_nodes(spark, tmp_path):
