@@ -106,24 +106,30 @@ def with_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(metric, label, n): totals, counts by language, type, relation and confidence (three buckets, zero-filled)."""
-    one = lambda df, metric, value: df.select(F.lit(metric).alias("metric"), F.lit("").alias("label"), value.alias("n"))
+    """(metric, label, n): totals, counts by language, type, relation and confidence (three buckets, zero-filled).
 
-    def grouped(df: DataFrame, metric: str, column: Column) -> DataFrame:
-        return df.groupBy(column.alias("label")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(metric).alias("metric"), "label", "n")
+    One aggregate a table: totals and counts by each column are grouping sets of the same scan.
+    """
 
-    buckets = nodes.sparkSession.createDataFrame([(c,) for c in S.CONFIDENCE_RANK], "label string")
-    found = grouped(edges, "confidence", F.coalesce("confidence", F.lit("EXTRACTED")))
-    return (
-        one(nodes.agg(F.count(F.lit(1)).alias("c")), "nodes", F.col("c"))
-        .unionByName(one(edges.agg(F.count(F.lit(1)).alias("c")), "edges", F.col("c")))
-        .unionByName(one(nodes.agg(F.count_distinct("macro_cluster").alias("c")), "macro_clusters", F.col("c")))
-        .unionByName(one(nodes.agg(F.coalesce(F.sum((F.col("is_hub") == 1).cast("long")), F.lit(0)).alias("c")), "hubs", F.col("c")))
-        .unionByName(grouped(nodes, "language", F.col("language")))
-        .unionByName(grouped(nodes, "symbol_type", F.col("symbol_type")))
-        .unionByName(grouped(edges, "rel_type", F.col("rel_type")))
-        .unionByName(F.broadcast(buckets).join(found.select("label", "n"), "label", "left").select(F.lit("confidence").alias("metric"), "label", F.coalesce("n", F.lit(0)).alias("n")))
-    )
+    def counted(df: DataFrame, total: str, columns: list[str], **others: Column) -> DataFrame:
+        """Rows of all of `df`, rows by each column, and further totals by name."""
+        sets = df.groupingSets([*[[F.col(c)] for c in columns], []], *columns)
+        got = sets.agg(F.count(F.lit(1)).alias("n"), *[agg.alias(f"total_{name}") for name, agg in others.items()], *[F.grouping(c).alias(f"no_{c}") for c in columns])
+        metric, label = F.lit(total), F.lit("")
+        for c in columns:
+            metric, label = F.when(F.col(f"no_{c}") == 0, c).otherwise(metric), F.when(F.col(f"no_{c}") == 0, F.col(c)).otherwise(label)
+        whole = F.lit(True)
+        for c in columns:
+            whole = whole & (F.col(f"no_{c}") == 1)
+        row = lambda m, x, n: F.struct(m.alias("metric"), x.alias("label"), n.alias("n"))
+        more = [F.when(whole, row(F.lit(name), F.lit(""), F.coalesce(F.col(f"total_{name}"), F.lit(0)).cast("long"))) for name in others]
+        return got.select(F.explode(F.array_compact(F.array(row(metric, label, F.col("n")), *more))).alias("r")).select("r.*")
+
+    per_node = counted(nodes, "nodes", ["language", "symbol_type"], macro_clusters=F.count_distinct("macro_cluster"), hubs=F.sum((F.col("is_hub") == 1).cast("long")))
+    per_edge = counted(edges.select("rel_type", F.coalesce("confidence", F.lit("EXTRACTED")).alias("confidence")), "edges", ["rel_type", "confidence"])
+    buckets = nodes.sparkSession.createDataFrame([(c,) for c in S.CONFIDENCE_RANK], "label string")  # three rows
+    zeros = buckets.select(F.lit("confidence").alias("metric"), "label", F.lit(0).cast("long").alias("n"))
+    return per_node.unionByName(per_edge.unionByName(zeros).where(F.col("metric").isin("edges", "rel_type") | F.col("label").isin(*S.CONFIDENCE_RANK)).groupBy("metric", "label").agg(F.sum("n").alias("n")))
 
 
 def dominant_language(nodes: DataFrame, by: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.operators.graph import edge_types, min_confidence
-from lodegraph.session import cut_lineage
+from lodegraph.session import cut_lineage, parallelism
 
 
 #: Walks of so many hops are one lazy plan; longer ones cut lineage and end early.
@@ -91,40 +91,58 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 25)
     return spark.createDataFrame(list(enumerate(reversed(path))), "position int, node_id string")
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """(node_id, component): the smallest node id of the weakly connected component, by label propagation with pointer jumping."""
-    step = cut_lineage(arcs(edges.where("source_id <> target_id"), "both"))
-    labels = cut_lineage(nodes.select("node_id", F.col("node_id").alias("component")))
-    for _ in range(max_rounds):
-        offered = labels.join(step, labels.node_id == step.here).select(F.col("there").alias("node_id"), "component")
-        lowest = labels.unionByName(offered.join(labels.select("node_id"), "node_id", "left_semi")).groupBy("node_id").agg(F.min("component").alias("component"))
-        jump = lowest.select(F.col("node_id").alias("component"), F.col("component").alias("further"))
-        nxt = cut_lineage(lowest.join(jump, "component").select("node_id", F.least("component", "further").alias("component")))
-        changed = nxt.join(labels.withColumnRenamed("component", "before"), "node_id").where("component <> before")
-        labels, done = nxt, changed.isEmpty()
-        if done:
-            break
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, component): the smallest node id of the weakly connected component. Edges to ids that are no node tie nothing.
+
+    Every vertex is hooked to its smallest neighbour, chains of hooks are shortened, and the links between what is left
+    are carried into the next round without loops and repeats. Links only shrink and each round leaves the local minima, so it
+    ends by itself; a hot vertex costs one row a neighbour until its neighbours are one with it.
+    """
+    known = nodes.select("node_id").distinct()
+    inner = edges.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
+    links = cut_lineage(inner.join(known.withColumnRenamed("node_id", "a"), "a", "left_semi").join(known.withColumnRenamed("node_id", "b"), "b", "left_semi"))
+    labels = cut_lineage(known.select("node_id", F.col("node_id").alias("component")))
+    while not links.isEmpty():
+        # Both ends of every link are hooked: to the smallest id among themselves and their neighbours.
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("to")), F.struct(F.col("b").alias("v"), F.col("a").alias("to")))).alias("x")).select("x.*")
+        hook = ends.groupBy("v").agg(F.min("to").alias("to")).select("v", F.least("v", "to").alias("to"))
+        for _ in range(2):
+            further = hook.select(F.col("v").alias("to"), F.col("to").alias("next"))
+            hook = hook.join(further, "to").select("v", F.col("next").alias("to"))
+        hook = cut_lineage(hook)
+        end = lambda c: hook.select(F.col("v").alias(c), F.col("to").alias(f"{c}_to"))
+        moved = links.join(end("a"), "a").join(end("b"), "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
+        links = cut_lineage(moved.where("a <> b").distinct())
+        labels = cut_lineage(labels.join(hook.withColumnRenamed("v", "component"), "component", "left").select("node_id", F.coalesce("to", "component").alias("component")))
     return labels
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
-    """(node_id, rank) of the undirected graph of weighted edges; ranks sum to 1. Ends early when the change is small."""
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 100) -> DataFrame:
+    """(node_id, rank) of the undirected graph of weighted edges; ranks sum to 1.
+
+    Rounds go on until the ranks change by less than `tolerance` a node; if `most_rounds` don't do, that is an error. Links
+    are partitioned by their start once and stay so; a round moves the summed flows only.
+    """
     both = edges.where("source_id <> target_id").select(F.explode(F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b")))).alias("x"), F.coalesce("weight", F.lit(1.0)).alias("w"))
     links = both.groupBy(F.col("x.a").alias("a"), F.col("x.b").alias("b")).agg(F.sum("w").alias("w")).where("w > 0")
     out = links.groupBy("a").agg(F.sum("w").alias("total"))
-    links = cut_lineage(links.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")))
-    nodes = cut_lineage(links.select(F.col("a").alias("node_id")).distinct())
-    n = nodes.count()
-    if not n:
-        return nodes.select("node_id", F.lit(0.0).alias("rank"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
-        flow = links.join(ranks, links.a == ranks.node_id).groupBy(F.col("b").alias("node_id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
-        nxt = flow.select("node_id", (F.lit((1 - damping) / n) + damping * F.col("flow")).alias("rank"))
-        if i % 5 == 4:
-            nxt = cut_lineage(nxt)
-            change = nxt.join(ranks.withColumnRenamed("rank", "before"), "node_id").agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
-            if change is not None and change < n * tolerance:
-                return nxt
-        ranks = nxt
-    return ranks
+    tasks = parallelism(edges.sparkSession)
+    links = cut_lineage(links.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p"))).repartition(tasks, "a").persist()
+    try:
+        nodes = cut_lineage(links.select(F.col("a").alias("node_id")).distinct())
+        n = nodes.count()
+        if not n:
+            return nodes.select("node_id", F.lit(0.0).alias("rank"))
+        ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+        for i in range(most_rounds):
+            flow = links.join(ranks, links.a == ranks.node_id).groupBy(F.col("b").alias("node_id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
+            nxt = flow.select("node_id", (F.lit((1 - damping) / n) + damping * F.col("flow")).alias("rank"))
+            if i % 5 == 4:
+                before, nxt = ranks, cut_lineage(nxt)
+                change = nxt.join(before.withColumnRenamed("rank", "before"), "node_id").agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
+                if change < n * tolerance:
+                    return nxt
+            ranks = nxt
+    finally:
+        links.unpersist()
+    raise RuntimeError(f"ranks still change after {most_rounds} rounds")

@@ -112,7 +112,7 @@ def central_symbols(s, d):
     a = _assigned(n)
     side = lambda k, c: a.select(F.col("node_id").alias(k), F.concat_ws("|", "wiki_id", F.col("cluster").cast("string")).alias(c))
     inner = e.select("source_id", "target_id", "weight").join(side("source_id", "x"), "source_id").join(side("target_id", "y"), "target_id").where("x = y")
-    ranks = pagerank(inner, rounds=10)
+    ranks = pagerank(inner)
     rows = a.join(ranks, "node_id")
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("wiki_id", "cluster").orderBy(F.desc(F.round("rank", 9)), "node_id"))).where("position <= 5").select("wiki_id", "cluster", "node_id", "position")
 

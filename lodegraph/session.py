@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +30,19 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a private one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named in spark.checkpoint.dir, or the one set on the context.
+
+    Where none is named a private folder is set in local mode only (tests); on a cluster a folder of one machine would
+    lose the checkpoints of the others, so that is an error.
+    """
     sc = spark.sparkContext
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-        return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "lodegraph-checkpoints"))
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodegraph-checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -84,7 +84,7 @@ def test_reach_and_components(spark, seed):
 def test_pagerank(spark):
     _, pairs = random_graph(3)
     e = edges(spark, pairs)
-    ranks = {r.node_id: r["rank"] for r in P.pagerank(e, rounds=30).collect()}
+    ranks = {r.node_id: r["rank"] for r in P.pagerank(e, tolerance=1e-9).collect()}
     w = defaultdict(lambda: defaultdict(float))
     for a, b, _, _ in pairs:
         if a != b:
