@@ -85,12 +85,12 @@ def _with_shards(df: DataFrame, plan: LoadPlan, keys: list[str]) -> DataFrame:
     return df.join(F.broadcast(heavy), keys, "left")  # fewer than tasks * SPLIT rows
 
 
-def fragment(rows: DataFrame, plan: LoadPlan, keys: list[str], spread_by: str) -> DataFrame:
-    """Send each row to the task of its key, rows of heavy keys to the shard that `spread_by` hashes to. Adds `_task`."""
+def fragment(rows: DataFrame, plan: LoadPlan, keys: list[str], spread_by: list[str]) -> DataFrame:
+    """Send each row to the task of its key, rows of heavy keys to the shard that `spread_by` hashes to. Adds `_task` and `_heavy`."""
     df = _with_shards(rows, plan, keys)
     light = F.element_at(F.array(*map(F.lit, plan.buckets)), _bucket(keys, len(plan.buckets)) + 1)
-    shard = F.element_at("_shards", (F.pmod(F.xxhash64(spread_by), F.size("_shards")) + 1).cast("int"))
-    df = df.withColumn("_task", F.when(F.col("_shards").isNull(), light).otherwise(shard)).drop("_shards")
+    shard = F.element_at("_shards", (F.pmod(F.xxhash64(*spread_by), F.size("_shards")) + 1).cast("int"))
+    df = df.withColumn("_heavy", F.col("_shards").isNotNull()).withColumn("_task", F.when(F.col("_shards").isNull(), light).otherwise(shard)).drop("_shards")
     return df.repartitionById(plan.tasks, "_task")
 
 
@@ -125,16 +125,20 @@ def key_stats(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
     total = edges.count()
     both = endpoint_rows(edges)
     plan = plan_load(both.select(*keys), keys, 2 * total)
-    rows = fragment(both, plan, keys, "other")
-    per = ["_task", *keys]
+    # A heavy key's rows are spread by neighbour and edge, so that neither a hot pair nor the null neighbour fills one shard.
+    rows = fragment(both, plan, keys, ["other", "id"])
+    per = ["_task", "_heavy", *keys]
     once = rows.groupBy(*per, "other", "id").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("w"))
     pairs = once.groupBy(*per, "other").agg(F.sum("n").alias("n"), F.count("id").alias("degree"), F.sum("w").alias("w"))
     parts = pairs.groupBy(*per).agg(
-        F.sum("n").alias("n"), F.sum("degree").alias("degree"), F.sum("w").alias("w"), F.count("other").alias("neighbours")
-    )
+        F.sum("n").alias("n"), F.sum("degree").alias("degree"), F.sum("w").alias("w"), F.when(F.col("_heavy"), 0).otherwise(F.count("other")).alias("neighbours")
+    ).drop("_heavy")
     kinds = nodes.where("node_id is not null").groupBy(F.col("node_id").alias("key")).agg(F.min(F.lower("symbol_type")).alias("symbol_type"))
     dims = replicate(kinds.select("key", "symbol_type", F.explode(F.array(F.lit("target"), F.lit("source"))).alias("side")), plan, keys)
-    joined = parts.join(dims, per, "left")
+    joined = parts.join(dims, ["_task", *keys], "left").drop("_task")
+    # A neighbour of a heavy key may stand in several shards; these are counted once for all of them.
+    apart = pairs.where("_heavy and other is not null").select(*keys, "other").distinct().groupBy(*keys).agg(F.count("other").alias("neighbours"))
+    joined = joined.unionByName(apart, allowMissingColumns=True)
     out = joined.groupBy("side", F.col("key").alias("node_id")).agg(
         F.sum("n").alias("n_rows"),
         F.sum("degree").alias("degree"),

@@ -65,10 +65,21 @@ def test_hot_key_is_sharded(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 200)).alias("key"), F.col("id").cast("string").alias("other"))
     plan = B.plan_load(rows.select("key"), ["key"], 3000, tasks=8)
     assert len(set(plan.shards[("hot",)])) >= 4
-    sizes = [r["count"] for r in B.fragment(rows, plan, ["key"], "other").groupBy("_task").count().collect()]
+    sizes = [r["count"] for r in B.fragment(rows, plan, ["key"], ["other"]).groupBy("_task").count().collect()]
     assert max(sizes) < 2.0 * 3000 / 8
 
 
+def test_hot_pair_is_sharded(spark):
+    """Half of all edges run between one pair, a quarter of them have no source."""
+    rows = [(i, "a" if i % 4 < 2 else None if i % 4 == 2 else f"s{i}", "b" if i % 4 < 3 else f"t{i}", 1.0, T0) for i in range(4000)]
+    both = B.endpoint_rows(edges_of(spark, rows))
+    plan = B.plan_load(both.select("side", "key"), ["side", "key"], both.count(), tasks=8)
+    sizes = [r["count"] for r in B.fragment(both, plan, ["side", "key"], ["other", "id"]).groupBy("_task").count().collect()]
+    assert max(sizes) < 2.0 * both.count() / 8
+    made = {(r.side, r.node_id): (r.degree, r.n_neighbours) for r in B.key_stats(edges_of(spark, rows), nodes_of(spark, []))[0].collect()}
+    assert made["target", "b"] == (3000, 1) and made["source", "a"] == (2000, 1) and made["source", "s3"] == (1, 1)
+
+
 def test_key_stats_empty(spark):
     got, total = B.key_stats(edges_of(spark, []), nodes_of(spark, []))
     assert total == 0 and got.count() == 0
