@@ -22,11 +22,12 @@ def query_terms(text: str) -> list[str]:
     return [t for t in re.split(r"[\W_]+", text.lower()) if t]
 
 
-def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The inverted index: (key, col, term, tf, positions, n_terms). Write it bucketed by term to search without a scan."""
+def postings(docs: DataFrame, key: str, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The inverted index: (key, col, term, tf, positions, n_terms) and the `keep` columns. `search_index` stores it by term, to search without a scan."""
+    keep = keep or []
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("words")) for c in columns]))
-    rows = docs.select(key, each.alias("x")).select(key, "x.col", F.size("x.words").alias("n_terms"), F.posexplode("x.words").alias("pos", "term"))
-    return rows.groupBy(key, "col", "term", "n_terms").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    rows = docs.select(key, *keep, each.alias("x")).select(key, *keep, "x.col", F.size("x.words").alias("n_terms"), F.posexplode("x.words").alias("pos", "term"))
+    return rows.groupBy(key, *keep, "col", "term", "n_terms").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 # --- Query algebra --------------------------------------------------------------------------------------------------
@@ -158,6 +159,70 @@ def top(found: DataFrame, key: str, k: int) -> DataFrame:
     return found.orderBy(F.desc("score"), key).limit(k)
 
 
+#: What the columns of a symbol weigh.
+SYMBOL_WEIGHTS = {"symbol_name": 10.0, "signature": 4.0, "docstring": 2.0, "source_text": 1.0}
+#: Columns that a search may be held to.
+SEARCHABLE = tuple(SYMBOL_WEIGHTS)
+
+
+def search_in_path(nodes: DataFrame, query, path: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """BM25 over the nodes of a folder; statistics come from all nodes, the filter stands before any limit. An empty path is an error."""
+    if not (path or "").strip("/"):
+        raise ValueError("a path is required")
+    found = bm25(nodes, "node_id", weights or SYMBOL_WEIGHTS, query, ["rel_path", "symbol_name", "symbol_type", "language"])
+    return found.where(F.col("rel_path").startswith(path.strip("/")))
+
+
+def search_by_name(nodes: DataFrame, name: str, architectural: bool = True) -> DataFrame:
+    """Symbols whose name holds the words of `name` in a row; the fallback where no symbol has the exact name."""
+    words = tuple(query_terms(name))
+    query = Phrase(words) if len(words) > 1 else And(tuple(Term(w) for w in words))
+    some = nodes.where("is_architectural") if architectural else nodes
+    return bm25(some, "node_id", {"symbol_name": 1.0}, query, ["symbol_name"])
+
+
+def search_with_retry(docs: DataFrame, key: str, weights: dict[str, float], text: str, keep: list[str] | None = None) -> DataFrame:
+    """The query as written; if nothing matches, any of its words as a prefix."""
+    first = bm25(docs, key, weights, parse_query(text), keep)
+    return first if first.limit(1).count() else bm25(docs, key, weights, any_prefix(text), keep)
+
+
+def smart_query(text: str, intent: str = "general"):
+    """A question as a query by what it is after: 'symbol' (the identifier's parts in its name), 'concept' or 'doc' (content words), 'general' (both, as prefixes)."""
+    from lodegraph.functions.questions import keywords
+
+    words = list(dict.fromkeys(t for w in keywords(text) for t in query_terms(w)))
+    if not words:
+        return any_prefix(text)
+    if intent == "symbol":
+        return Or(tuple(Term(w) for w in words))
+    return Or(tuple((Term if intent in ("concept", "doc") else Prefix)(w) for w in words))
+
+
+#: Columns that an intent weighs more.
+INTENT_WEIGHTS = {"symbol": {"symbol_name": 10.0}, "doc": {"docstring": 4.0, "source_text": 1.0}}
+
+
+def search_smart(nodes: DataFrame, text: str, intent: str = "general", types: list[str] | None = None, without: list[str] | None = None, language: str | None = None, path: str | None = None) -> DataFrame:
+    """Symbols for a question, by intent, with filters before any limit: types, types left out, language, path."""
+    found = bm25(nodes, "node_id", INTENT_WEIGHTS.get(intent, SYMBOL_WEIGHTS), smart_query(text, intent), ["symbol_name", "symbol_type", "language", "rel_path"])
+    if types:
+        found = found.where(F.col("symbol_type").isin(types))
+    if without:
+        found = found.where(~F.col("symbol_type").isin(without))
+    if language:
+        found = found.where(F.col("language") == language.lower())
+    return found.where(F.col("rel_path").startswith(path.strip("/"))) if path else found
+
+
+def low_value(query: Column) -> Column:
+    """Whether a text is too common a name to search by: shorter than four characters, or a word without content."""
+    from lodegraph.functions.questions import EMPTY_WORDS
+
+    bare = F.lower(F.trim(F.coalesce(query, F.lit(""))))
+    return (F.length(bare) < 4) | bare.isin(*sorted(EMPTY_WORDS))
+
+
 def score_norm(score: Column) -> Column:
     """Score brought to 0..1, growing with it."""
     return score / (1 + score)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodegraph.plans import communities, context, dataprep, federation, linkage, passes, search, structure
+from lodegraph.plans import communities, context, dataprep, federation, linkage, passes, retrieval, search, structure
 
 FLAGSHIP = "god_nodes"
-_MODULES = (dataprep, structure, search, linkage, communities, context, passes, federation)
+_MODULES = (dataprep, structure, search, linkage, communities, context, passes, federation, retrieval)
 
 
 def queries() -> dict:

@@ -91,12 +91,6 @@ def jql_layer_any_case(s, d):
     return _jql(s, d, "layer:Core_Type connections:>=3 limit:100")
 
 
-@query("jql_connections_no_number", f"{WITH}, {_DEG} {_OUT} where false")
-def jql_connections_no_number(s, d):
-    """A comparison with what is no number holds for no node."""
-    return _jql(s, d, "type:class connections:>abc")
-
-
 @query("jql_or_strict_off", f"{WITH}, {_DEG} {_OUT} where symbol_type = 'struct' or rel_path like 'tests/%' {_ORDER} limit 500")
 def jql_or_strict_off(s, d):
     return _jql(s, d, "type:struct OR file:tests limit:500", strict=False)
