@@ -148,9 +148,12 @@ def plain_chunks(s, d):
     return M.chunks(docs, "doc_id", "text", plain=True)
 
 
-@query("markdown_headings", "select doc_id, len(regexp_extract_all(text, '(?m)^(#{1,6}[ \\t]+[^\\n]+?)[ \\t]*$', 1)) as n_headings from documents where text is not null and not contains(text, '```') and not contains(text, '~~~')")
+_UNFENCED = "regexp_replace(text, '(?ms)^(?:```.*?^```[^\\n]*$|~~~.*?^~~~[^\\n]*$)', '', 'g')"
+
+
+@query("markdown_headings", f"select doc_id, len(regexp_extract_all({_UNFENCED}, '(?m)^(#{{1,6}}[ \\t]+[^\\n]+?)[ \\t]*$', 1)) as n_headings from documents where text is not null")
 def markdown_headings(s, d):
-    """Headings of all texts. The SQL can't tell fences and leaves out the texts that have any."""
+    """Headings of all texts outside of code fences."""
     docs = table(s, d, "documents").where("text is not null")
     return docs.select("doc_id", F.size(M.headings(F.col("text"))).cast("long").alias("n_headings"))
 

@@ -60,10 +60,14 @@ def edge_resolution(s, d):
     return R.resolve_edges(*G.graph(s, d))
 
 
-@query("text_surfaces", f"{WITH} select node_id, surface from (select node_id, unnest(list_distinct(regexp_extract_all(source_text, '\\b(?:logger|log|LOG)\\.(?:info|Printf)\\([\"''](\\w+)', 1))) as surface from n where source_text is not null)")
+_HTTP = "regexp_replace(lower(regexp_replace(regexp_replace(surface, '\\?.*$', ''), '\\{[^}]*\\}|<[^>]*>|:[A-Za-z_]\\w*', '{}', 'g')), '/+$', '')"
+_SHOWN = " union all ".join(f"select node_id, '{kind}' as kind, unnest(list_distinct(regexp_extract_all(source_text, '{pattern.replace(chr(39), chr(39) * 2)}', 1))) as surface from n where source_text is not null" for kind, pattern, _ in R.SURFACES)
+
+
+@query("text_surfaces", f"{WITH}, t as ({_SHOWN}) select node_id, kind, case when kind <> 'http' then surface when {_HTTP} = '' then '/' else {_HTTP} end as surface from t")
 def text_surfaces(s, d):
-    """Surfaces of all kinds, a row a kind. The SQL has those of logs only."""
-    return R.text_surfaces(G.nodes_view(table(s, d, "repo_nodes"), "source_text")).select("node_id", "surface")
+    """Surfaces of all kinds that the texts of nodes show."""
+    return R.text_surfaces(G.nodes_view(table(s, d, "repo_nodes"), "source_text")).select("node_id", "kind", "surface")
 
 
 @query("object_shapes")

@@ -123,10 +123,11 @@ def source_file_filters(s, d):
 # --- Writes (their results) -----------------------------------------------------------------------------------------
 @query(
     "write_node_upsert",
-    f"{WITH}, old as (select node_id, rel_path, symbol_name from n where abs(coalesce(start_line, 0)) % 3 <> 0), new as (select node_id, rel_path || '.new' as rel_path, symbol_name from n where abs(coalesce(start_line, 0)) % 2 = 0) select * from new union all select * from old where node_id not in (select node_id from new)",
+    f"""{WITH}, lc as (select node_id, rel_path as new_path from (select *, row_number() over (partition by node_id order by changed_at desc nulls last, change_id desc) as rn from node_changes where node_id is not null and change_kind <> 'deleted') where rn = 1)
+select lc.node_id, coalesce(new_path, n.rel_path) as rel_path, n.symbol_name from lc left join n on n.node_id = lc.node_id union all select node_id, rel_path, symbol_name from n where node_id not in (select node_id from lc)""",
 )
 def write_node_upsert(s, d):
-    """All nodes, with the newest change of each that isn't a deletion written over them. The SQL upserts made-up subsets of the nodes instead."""
+    """All nodes, with the newest change of each that isn't a deletion written over them."""
     old = _n(s, d).select("node_id", "rel_path", "symbol_name")
     changes = table(s, d, "node_changes").where("node_id is not null and change_kind <> 'deleted'")
     last = W.last_wins(changes.withColumn("at", F.struct("changed_at", "change_id")), ["node_id"], "at").select("node_id", F.col("rel_path").alias("new_path"))
@@ -168,10 +169,17 @@ def embedding_pending(s, d):
     return W.embedding_pending(_n(s, d, "content_hash", "embedding_content_hash").where("is_architectural")).select("node_id")
 
 
-@query("embedding_sink", "select node_id, coalesce(max(length), 0) as n from (select node_id, len(embedding) as length from repo_vec) group by 1")
+_TEXT = " or ".join(f"trim({c}) <> ''" for c in ("source_text", "docstring", "symbol_name"))
+
+
+@query("embedding_sink", f"{WITH}, p as (select node_id from n where content_hash is distinct from embedding_content_hash and ({_TEXT})), v as (select node_id, coalesce(max(len(embedding)), 0) as n from repo_vec group by 1) select node_id, 1 as n from p union all select node_id, n from v where node_id not in (select node_id from p)")
 def embedding_sink(s, d):
+    """Lengths of stored vectors after the pending nodes were embedded again by a model of one number, the length of the text."""
     v = table(s, d, "repo_vec").select("node_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("n"))
-    return W.upsert(v.groupBy("node_id").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")), v.limit(0), ["node_id"])
+    stored = v.groupBy("node_id").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    pending = _n(s, d, "content_hash", "embedding_content_hash", "source_text", "docstring")
+    fresh = W.embed(pending, lambda texts: [[len(t)] for t in texts]).select("node_id", F.size("embedding").cast("long").alias("n"))
+    return W.upsert(stored, fresh, ["node_id"])
 
 
 # --- Predicates -----------------------------------------------------------------------------------------------------
