@@ -77,8 +77,9 @@ def link_directory_anchor(s, d):
 
 @query("link_lexical_tiers")
 def link_lexical_tiers(s, d):
-    n = _n(s, d)
-    return L.lexical_tiers(n, n.where("symbol_type = 'struct'").select("node_id"))
+    """Orphans linked to symbols of like names."""
+    n, e = G.graph(s, d)
+    return L.lexical_tiers(n, G.orphans(n, e).select("node_id"))
 
 
 _T = "(is_test or regexp_matches(lower(coalesce(file_name, '')), '^tests?[_.\\-]|[_.\\-](tests?|spec)$'))"
@@ -102,7 +103,10 @@ def link_tests_class(s, d):
     return L.class_proxy_tests(_n(s, d))
 
 
+#: SQL of the two sorts of test links.
+SAME_TESTS = {k: SQL[k] for k in ("link_tests_same_stem", "link_tests_class")}
 _SNAKE = "array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda t: t <> ''), '_')"
+SNAKE = _SNAKE
 _SURF = "sf as (select * from (select node_id, wiki_id, language, rel_path, 'name' as kind, " + _SNAKE.format(c="symbol_name") + " as surface from n where is_architectural and symbol_name <> '') where surface <> '')"
 _PART = "split_part({p}, '/', 1)"
 

@@ -11,7 +11,8 @@ from lodegraph.operators import enrichment as R
 from lodegraph.operators import fusion as Z
 from lodegraph.operators import graph as G
 from lodegraph.operators import linking as L
-from lodegraph.plans.prelude import WITH
+from lodegraph.plans.linkage import SAME_TESTS, SNAKE
+from lodegraph.plans.prelude import COMPONENTS, DEGREE, WITH, WITHR
 from lodegraph.sources.tables import table
 
 QUERIES: dict = {}
@@ -39,20 +40,27 @@ def orphan_cascade(s, d):
     return R.orphan_cascade(n, e)
 
 
-@query("component_bridges")
+_LEAD = f"{COMPONENTS}, {DEGREE}, ld as (select wiki_id, component, count(*) as size, (array_agg(n.node_id order by coalesce(degree, 0) desc, n.node_id))[1] as node_id from n join cp on cp.node_id = n.node_id left join dg on dg.node_id = n.node_id group by 1, 2)"
+
+
+@query("component_bridges", f"{WITHR}, {_LEAD}, mn as (select * from ld qualify row_number() over (partition by wiki_id order by size desc, component) = 1) select ld.node_id as source_id, mn.node_id as target_id, ld.wiki_id from ld join mn on mn.wiki_id = ld.wiki_id where ld.component <> mn.component")
 def component_bridges(s, d):
     return R.bridges(*G.graph(s, d))
 
 
-@query("connectivity")
+@query(
+    "connectivity",
+    f"""{WITHR}, {_LEAD}, lo as (select wiki_id, count(*) as k from n where node_id not in (select node_id from dg where node_id is not null) group by 1), pr as (select wiki_id, cast(sum(size) as bigint) as n_nodes, count(*) as n_components, max(size) as largest from ld group by 1)
+select pr.wiki_id, n_nodes, coalesce(k, 0) as n_orphans, n_components, largest, round(largest / n_nodes, 6) as largest_share from pr left join lo on lo.wiki_id = pr.wiki_id""",
+)
 def connectivity(s, d):
     return R.connectivity(*G.graph(s, d))
 
 
-@query("symbol_resolution", f"{WITH}, {_INDEX} select b.key, b.node_id, b.kind from bi b where key in (select distinct symbol_name from n where symbol_type = 'class')")
+@query("symbol_resolution", f"{WITH}, {_INDEX} select b.key, b.node_id, b.kind from bi b where key in (select distinct symbol_name from n)")
 def symbol_resolution(s, d):
     n = G.nodes_view(table(s, d, "repo_nodes"))
-    return R.resolve(n, n.where("symbol_type = 'class'").select(F.col("symbol_name").alias("key")))
+    return R.resolve(n, n.select(F.col("symbol_name").alias("key")))
 
 
 @query("edge_resolution", f"{WITH}, {_INDEX} select e.id, e.target_id, bi.node_id as resolved, bi.kind from e join bi on bi.key = e.target_id where e.target_id not in (select node_id from n) and e.target_id <> ''")
@@ -70,9 +78,12 @@ def text_surfaces(s, d):
     return R.text_surfaces(G.nodes_view(table(s, d, "repo_nodes"), "source_text")).select("node_id", "kind", "surface")
 
 
-@query("object_shapes")
+_FIELDS = "list_sort(list_distinct(list_transform(regexp_extract_all(source_text, '[{,]\\s*[\"'']?([A-Za-z_]\\w*)[\"'']?\\s*:', 1), lambda x: " + SNAKE.format(c="x") + ")))"
+
+
+@query("object_shapes", f"{WITH}, o as (select node_id, {_FIELDS} as f from n where source_text is not null) select node_id, 'obj:' || array_to_string(f, ',') as surface from o where len(f) >= 2")
 def object_shapes(s, d):
-    return R.object_shapes(G.nodes_view(table(s, d, "repo_nodes"), "source_text").where("symbol_type = 'function'"))
+    return R.object_shapes(G.nodes_view(table(s, d, "repo_nodes"), "source_text"))
 
 
 @query("citations", "select doc_id, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '[\\[(]([\\w./-]+\\.\\w+):(\\d+)(?:-(\\d+))?[\\])]', 0)) as c from documents) group by 1")
@@ -105,7 +116,7 @@ def tiered_budget(s, d):
     return Z.tiered_budget(f.select("wiki_id", F.col("node_id").alias("id"), F.col("degree").cast("double").alias("score"), X.token_estimate(F.col("source_text")).alias("tokens")), "wiki_id")
 
 
-@query("test_links")
+@query("test_links", " union ".join(f"select * from ({SAME_TESTS[k]})" for k in sorted(SAME_TESTS)))
 def test_links(s, d):
     return L.test_links(G.nodes_view(table(s, d, "repo_nodes")))
 

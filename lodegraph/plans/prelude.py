@@ -20,3 +20,7 @@ EDGES = "e as (select distinct id, wiki_id, source_id, target_id, rel_type, edge
 WITH = f"with {NODES}, {EDGES}"
 WITHR = f"with recursive {NODES}, {EDGES}"
 DIR = "regexp_extract(rel_path, '^(.*)/[^/]*$', 1)"
+#: Weakly connected components (after WITHR): cp has node_id and component, the smallest id that reaches it.
+COMPONENTS = """cl as (select source_id as a, target_id as b from e where source_id <> target_id and source_id in (select node_id from n) and target_id in (select node_id from n) union select target_id, source_id from e where source_id <> target_id and source_id in (select node_id from n) and target_id in (select node_id from n)),
+cr(seed, node_id) as (select node_id, node_id from n union select cr.seed, cl.b from cr join cl on cl.a = cr.node_id), cp as (select node_id, min(seed) as component from cr group by 1)"""
+DEGREE = "dg as (select node_id, count(*) as degree from (select source_id as node_id from e union all select target_id from e) group by 1)"

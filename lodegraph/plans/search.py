@@ -12,7 +12,7 @@ from lodegraph.operators import text as T
 from lodegraph.operators import traverse as P
 from lodegraph.operators import vectors as V
 from lodegraph.plans.compile import compile_query
-from lodegraph.plans.prelude import WITH, WITHR
+from lodegraph.plans.prelude import COMPONENTS, WITH, WITHR
 from lodegraph.plans.structure import LAYER_SQL
 from lodegraph.sources.tables import table
 
@@ -337,9 +337,8 @@ def shortest_path(s, d):
     return P.shortest_path(e, ends.a, ends.b)
 
 
-@query("components")
+@query("components", f"{WITHR}, {COMPONENTS} select node_id, component from cp")
 def components(s, d):
-    """Checked against a union-find in the tests."""
     return P.components(*G.graph(s, d))
 
 
