@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.session import parallelism
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -29,48 +31,50 @@ def nearest(vectors: DataFrame, key: str, query: list[float], k: int, metric: st
     return vectors.where("embedding is not null").select(key, distance.alias("distance")).where("distance is not null").orderBy("distance", key).limit(k)
 
 
-#: Queries of one broadcast matrix.
+#: Queries that one task compares at a time.
 QUERY_BLOCK = 4096
 
 
 def batch_nearest(vectors: DataFrame, queries: DataFrame, key: str, k: int, below: float | None = None) -> DataFrame:
-    """(query, key, distance, position): for each query vector its k nearest rows by cosine distance, itself left out.
+    """(query, key, distance, position): for each query vector its k nearest rows by cosine distance, itself left out; ties go by key.
 
-    Queries are read in blocks of QUERY_BLOCK, each a bounded matrix sent to every task; a task keeps its k best of a
-    query, so few rows are shuffled. All-zero and null vectors take no part.
+    Both sides are cut into blocks by hash; a task compares a block of queries with a block of vectors and keeps the k
+    best of each query, so few rows are shuffled afterwards. Nothing passes through the driver but the number of
+    queries. All-zero and null vectors take no part; a key delivered twice counts once.
     """
-    spark = vectors.sparkSession
     usable = vectors.where("embedding is not null").select(key, "embedding")
-    rows = [(r[0], r[1]) for r in queries.where("embedding is not null").select(key, "embedding").toLocalIterator()]
+    asked = queries.where("embedding is not null").select(F.col(key).alias("query"), F.col("embedding").alias("vector"))
     kind = dict(vectors.dtypes)[key]
-    schema = f"query {kind}, {key} {kind}, distance double"
-    out = spark.createDataFrame([], schema)
-    for at in range(0, len(rows), QUERY_BLOCK):
-        block = [(q, np.asarray(v, np.float64)) for q, v in rows[at : at + QUERY_BLOCK]]
-        block = [(q, v / np.linalg.norm(v)) for q, v in block if np.linalg.norm(v) > 0]
-        if not block:
-            continue
-        shared = spark.sparkContext.broadcast(([q for q, _ in block], np.stack([v for _, v in block])))
-
-        def run(frames):
-            ids, matrix = shared.value
-            for pdf in frames:
-                x = np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]]) if len(pdf) else np.empty((0, matrix.shape[1]))
-                norm = np.linalg.norm(x, axis=1)
-                ok = norm > 0
-                names, x = pdf[key].to_numpy()[ok], x[ok] / norm[ok, None]
-                if not len(x):
-                    continue
-                dist = 1 - matrix @ x.T
-                take = min(k + 1, len(x))
-                best = np.argpartition(dist, take - 1, axis=1)[:, :take]
-                made = pd.DataFrame({"query": np.repeat(ids, take), key: names[best.ravel()], "distance": np.take_along_axis(dist, best, 1).ravel()})
-                made = made[made["query"] != made[key]]
-                yield made if below is None else made[made["distance"] < below]
-
-        out = out.unionByName(usable.mapInPandas(run, schema))
+    rows, cols = max(1, -(-asked.count() // QUERY_BLOCK)), parallelism(vectors.sparkSession)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_q", block("query", rows)).withColumn("_v", every(cols))
+    right = usable.withColumn("_v", block(key, cols)).withColumn("_q", every(rows))
+
+    def unit(names: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        x = np.stack([np.asarray(v, np.float64) for v in values]) if len(values) else np.empty((0, 0))
+        norm = np.linalg.norm(x, axis=1)
+        return names.to_numpy()[norm > 0], x[norm > 0] / norm[norm > 0, None]
+
+    def compare(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        asked_ids, a = unit(q["query"], q["vector"])
+        v = v.drop_duplicates(key).sort_values(key)
+        ids, b = unit(v[key], v["embedding"])
+        made: list[tuple] = []
+        if len(asked_ids) and len(ids):
+            dist = 1 - a @ b.T
+            take = min(k + 1, len(ids))
+            bound = np.partition(dist, take - 1, axis=1)[:, take - 1]
+            for i, name in enumerate(asked_ids):
+                near = np.flatnonzero(dist[i] <= bound[i])  # in the order of keys
+                near = near[np.argsort(dist[i][near], kind="stable")][:take]
+                made += [(name, ids[j], float(dist[i, j])) for j in near if ids[j] != name]
+        out = pd.DataFrame(made, columns=["query", key, "distance"])
+        return out if below is None else out[out["distance"] < below]
+
+    pairs = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(compare, f"query {kind}, {key} {kind}, distance double")
     order = Window.partitionBy("query").orderBy("distance", key)
-    return out.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    return pairs.dropDuplicates(["query", key]).withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
 def cached_answers(answers: DataFrame, query: list[float], threshold: float, k: int = 5) -> DataFrame:
