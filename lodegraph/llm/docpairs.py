@@ -71,9 +71,13 @@ _CODE = regex.compile(
     regex.X,
 )
 #: Words that say nothing of their own in documentation.
-FILLER = frozenset(
-    "a an the this that these it its of for to in on with and or is are be as by from at function functions func fn def method methods constructor constructors ctor init initializer initialiser procedure routine class struct object symbol helper operation param params parameter parameters arg args argument arguments return returns returned value values result results name kind new self none null void type default".split()
-)
+FILLER = frozenset((
+    "a", "an", "the", "this", "that", "these", "it", "its", "of", "for", "to", "in", "on", "with", "and", "or", "is", "are", "be", "as", "by",
+    "from", "at", "function", "functions", "func", "fn", "def", "method", "methods", "constructor", "constructors", "ctor", "init", "initializer",
+    "initialiser", "procedure", "routine", "class", "struct", "object", "symbol", "helper", "operation", "param", "params", "parameter",
+    "parameters", "arg", "args", "argument", "arguments", "return", "returns", "returned", "value", "values", "result", "results", "name", "kind",
+    "new", "self", "none", "null", "void", "type", "default",
+))
 _WORD = regex.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _PARTS = regex.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿ]+|[^\W\d_a-zA-Z]+")
 
