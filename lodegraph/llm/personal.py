@@ -15,10 +15,11 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from lodegraph.llm.batches import map_rows, spread
 
 # --- Mail -----------------------------------------------------------------------------------------------------------
 _AT = re.compile(r"@|[  ]?[\[({<][  ]?(?:at|AT|At)[  ]?[\])}>][  ]?|[  ](?:AT|at)[  ](?=[\w.-]+[  ](?:DOT|dot)[  ])")
+#: Without "dot" and a bracketed "at" only the sign can match.
+_SIGN, _BRACKET_AT = re.compile("@"), re.compile(r"[\[({<][ ]?(?:at|AT|At)[ ]?[\])}>]")
 _LOCAL = re.compile(r"(?<![\w.%+@/-])[^\W_](?:[\w.%+'-]{0,62}\w)?\Z")
 _DOMAIN = re.compile(r"(?:[^\W_][\w-]*(?:\.|[  ]?[\[({<][  ]?(?:dot|DOT|Dot)[  ]?[\])}>][  ]?|[  ](?:DOT|dot)[  ]))+[^\W\d_]{2,24}(?![\w@/])")
 
@@ -38,6 +41,8 @@ _ID_LABEL = re.compile(rf"(?<!\w)(?i:{_ID_LABELS})[  \n]?[:#=]?[  \n]{{0,2}}\Z")
 #: Numbers that need no label: their own grouping (social security, national insurance) or their check digits tell them.
 _ID_GROUPED = re.compile(r"(?<![\w.+/-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d{2} \d{2} \d{2} [A-D])(?!\w|[-./]\d)")
 _ID_CHECKED = re.compile(r"(?<![\w.+/-])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|\d(?:[ -]?\d){12,18})(?!\w|[-./]\d)")
+#: What every identity number has, and every run of digits with a phone number: texts without it are not searched for them.
+_ID_DIGITS, _PHONE_DIGITS = re.compile(r"\d(?:(?:\W?\d){5}|\d ?[A-Z0-9]{4})"), re.compile(r"\d[\d ()./-]{6,}\d")
 
 # --- Phone numbers ---------------------------------------------------------------------------------------------------
 _DIGIT = re.compile(r"\d")
@@ -96,7 +101,10 @@ GIVEN_NAMES = (
     "Jana", "Jelena", "João", "Karim", "Katarzyna", "Lars", "Leila", "Lena", "Li", "Luca", "Milan", "Mohammed", "Nadia", "Natasha", "Olga", "Omar", "Oskar", "Pavel", "Piotr", "Priya",
     "Rahul", "Rosa", "Sven", "Tatiana", "Viktor", "Vladimir", "Wei", "Yuki", "Yusuf",
 )
-_TITLE = re.compile(r"(?:^|[^\w])(?:Mr|Mrs|Ms|Dr|Prof|Mme|Mlle|Sr|Sra|Herr|Frau|Monsieur|Madame|Señora?|Don|Doña)\.? \Z")
+_TITLES = r"(?:Mr|Mrs|Ms|Dr|Prof|Mme|Mlle|Sr|Sra|Herr|Frau|Monsieur|Madame|Señora?|Don|Doña)\.? "
+_TITLE = re.compile(rf"(?:^|[^\w]){_TITLES}\Z")
+#: Found wherever a title may stand. It, _ANY_CAP and _LOW_ANCHOR begin with a set of characters, which is searched fast.
+_ANY_TITLE = re.compile(r"[DFHMPS](?:rs?|s|rof|me|lle|ra|err|rau|onsieur|adame|eñora?|on|oña)\.? ")
 #: Left of a name: a label, or the word that names an agent; right of it: a relative clause on a person.
 _LABEL = re.compile(r"(?:^|[^\w:/=]|[.:;)>`][ \n])[^\W\d_][\w-]*(?: [\w-]+){0,2}:[  \n]{1,2}\Z")
 _TRAILER = re.compile(r"(?:^|\W)[A-Za-z]+(?:-[a-z]+)*-by: \Z")
@@ -110,9 +118,9 @@ _ENDS = re.compile(r"[  \n]*(?:[<(,\[.;)`#]|$|\n)|[  \n]+(?:- |[A-Z`#\[(])|[  \n
 _LOW, _CAP = r"[^\W\d_]{2,}(?:[-'’][^\W\d_]{2,})*", r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]{2,})*"
 #: given surname, given initial surname, initial(s) surname, surname first with a given name or an initial.
 _SHAPES = "(?:{w},[  \n]{w}(?:[ ][A-Z]\\.)?|{w},[ ][A-Z]\\.|{w}(?:[ ][A-Z]\\.)?[  \n]{w}|[A-Za-z]\\.(?:[ ]?[A-Z]\\.)?[ ]{w})(?!\\w)"
-_ANY_CAP = re.compile(rf"(?=(?<![\w@./'’-])(?P<v>{_SHAPES.format(w=_CAP)}))(?=[^\W\d_a-zß-öø-ÿ])")
+_ANY_CAP = re.compile(rf"[^\W\d_a-zß-öø-ÿ](?<=(?=(?<![\w@./'’-])(?P<v>{_SHAPES.format(w=_CAP)})).)")
 _LOW_AT = re.compile(_SHAPES.format(w=_LOW))
-_LOW_ANCHOR = re.compile(r"(?:(?<=\W)(?:by|von|vom|durch|par|por|to|an|à|a|of|for|de)|:)[  \n]{1,2}(?=[a-zà-ÿ])")
+_LOW_ANCHOR = re.compile(r"[ \n](?<=[:ynmhroaàfe][ \n])(?:(?<=:[ \n])|(?<=\W[aà][ \n])|(?<=\W(?:by|to|an|of|de)[ \n])|(?<=\W(?:von|vom|par|por|for)[ \n])|(?<=\Wdurch[ \n]))[ \n]?(?=[a-zà-ÿ])")
 _LOW_BEFORE = re.compile(rf"(?=(?<![\w@./'’-])(?P<v>{_SHAPES.format(w=_LOW)}))(?=[a-zà-ÿ])")
 _PART = re.compile(r"[^\W\d_]+\.?(?:[-'’][^\W\d_]+)*")
 _WITHIN = re.compile(r"(?:^|\W)[a-zß-öø-ÿ][\w'’-]*,?[  \n]\Z")
@@ -168,7 +176,14 @@ def _name_strength(text: str, a: int, b: int, v: str, lexicon: Lexicon, starts:
 
 def mentions(text: str, lexicon: Lexicon | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every mention, ascending and without overlap; numbers win over names where two overlap."""
-    lexicon = lexicon or USUAL
+    taken, add = _formatted(text)
+    for _, a, b, _near in sorted(_names(text, *_ends(taken), lexicon or USUAL)):
+        add(a, b, "name")
+    return taken
+
+
+def _formatted(text: str) -> tuple[list[tuple[int, int, str]], Callable[[int, int, str], bool]]:
+    """Mentions told by their format (all but names), ascending and without overlap; what adds one to them where it is free."""
     taken: list[tuple[int, int, str]] = []
     starts: list[int] = []
 
@@ -180,30 +195,24 @@ def mentions(text: str, lexicon: Lexicon | None = None) -> list[tuple[int, int,
         taken.insert(i, (a, b, kind))
         return True
 
-    for at in _AT.finditer(text):
+    for at in (_AT if "dot" in text or "DOT" in text or _BRACKET_AT.search(text) else _SIGN).finditer(text):
         low = max(0, at.start() - 66)
         local, domain = _LOCAL.search(text[low : at.start()]), _DOMAIN.match(text, at.end())
         if local and domain and not domain[0].replace(".", "").isdigit():
             add(low + local.start(), domain.end(), "email")
     if _DIGIT.search(text):
         _numbers(text, add)
-    found = _names(text, {a: k for a, _, k in taken}, {b for _, b, k in taken if k == "id_number"}, lexicon)
-    for _, a, b, _sure in sorted(found):
-        add(a, b, "name")
-    return taken
+    return taken, add
+
+
+def _ends(taken: list[tuple[int, int, str]]) -> tuple[dict[int, str], set[int]]:
+    """Where mentions start, with their kinds; where identity numbers end."""
+    return {a: k for a, _, k in taken}, {b for _, b, k in taken if k == "id_number"}
 
 
 def _numbers(text: str, add) -> None:
-    for m in _ID_NUMBER.finditer(text):
-        for a in {m.start(), m.start() + _DIGIT.search(m[0]).start()}:  # two letters before the digits may end the label
-            if formats.id_format(text[a : m.end()]) and _ID_LABEL.search(text, max(0, a - 40), a):
-                add(a, m.end(), "id_number")
-    for m in _ID_GROUPED.finditer(text):
-        if formats.id_format(m[0]):
-            add(m.start(), m.end(), "id_number")
-    for m in _ID_CHECKED.finditer(text):
-        if formats.id_format(m[0]) in [(name, True) for name in formats.BARE]:
-            add(m.start(), m.end(), "id_number")
+    if _ID_DIGITS.search(text):
+        _identities(text, add)
     spots = [m.start() for m in _HOUSE.finditer(text)]
     spots += [m.start() for m in _NUMBERED.finditer(text) if text.endswith(_STREET_ENDS, max(0, m.start() - 8), m.start())]
     for word in _STREET_WORDS:
@@ -220,12 +229,25 @@ def _numbers(text: str, add) -> None:
         for m in _BIRTH.finditer(text):
             if formats.split_date(m["v"]):
                 add(m.start("v"), m.end("v"), "date")
-    for run in _DIGIT_RUN.finditer(text):
+    for run in _DIGIT_RUN.finditer(text) if _PHONE_DIGITS.search(text) else ():
         for m in _PHONE.finditer(text, run.start(), min(len(text), run.end() + 20)):
             if formats.split_phone(m[0]) and not (_GROUPS_BEFORE.search(text, max(0, m.start() - 6), m.start()) and text[m.end() : m.end() + 1] in " -"):
                 add(m.start(), m.end(), "phone")
 
 
+def _identities(text: str, add) -> None:
+    for m in _ID_NUMBER.finditer(text):
+        for a in {m.start(), m.start() + _DIGIT.search(m[0]).start()}:  # two letters before the digits may end the label
+            if formats.id_format(text[a : m.end()]) and _ID_LABEL.search(text, max(0, a - 40), a):
+                add(a, m.end(), "id_number")
+    for m in _ID_GROUPED.finditer(text):
+        if formats.id_format(m[0]):
+            add(m.start(), m.end(), "id_number")
+    for m in _ID_CHECKED.finditer(text):
+        if formats.id_format(m[0]) in [(name, True) for name in formats.BARE]:
+            add(m.start(), m.end(), "id_number")
+
+
 def _names(text: str, starts: dict[int, str], id_ends: set[int], lexicon: Lexicon) -> list[tuple[int, int, int, bool]]:
     """(-strength, start, end, by a neighbour) of all candidates that count; they may overlap."""
     out = []
@@ -253,10 +275,10 @@ def _names(text: str, starts: dict[int, str], id_ends: set[int], lexicon: Lexico
 
 
 # --- Learning the names of a collection --------------------------------------------------------------------------------
-#: Texts from which given names and ordinary words are learned, and the most of each that are kept.
-SAMPLE_TEXTS, MOST_GIVEN, MOST_ORDINARY = 20_000, 20_000, 50_000
 #: A given name stands in names found beside other mentions so often, and so in such a share of all its places; an ordinary word is written in lower case once in so many texts, and in such a share of its places.
 GIVEN_TIMES, GIVEN_SHARE, ORDINARY_TEXTS, ORDINARY_SHARE = 1, 0.2, 2_000, 0.3
+#: Characters of texts that a task counts before it passes the counts on.
+HELD = 20_000_000
 _COUNTED = pa.schema([("word", pa.string()), ("lower_n", pa.int64()), ("all_n", pa.int64()), ("given_n", pa.int64())])
 _COUNTS = "word string, lower_n bigint, all_n bigint, given_n bigint"
 
@@ -270,38 +292,55 @@ def _without(text: str, found: list[tuple[int, int, str]]) -> str:
     return " ".join([*out, text[at:]])
 
 
+def _chunks_and_given(text: str) -> tuple[list[str], list[str]]:
+    """What stands between blanks in a text without its mentions; given names (lower case) of the names beside a mention or title."""
+    taken, _ = _formatted(text)
+    near = _names(text, *_ends(taken), NONE) if taken or _ANY_TITLE.search(text) else []
+    return _without(text, taken).split(), [_parts(text[a:b])[0] for _, a, b, by in near if by]
+
+
+def _counted(chunks: Counter[str], given: Counter[str]) -> pa.RecordBatch:
+    every: Counter[str] = Counter()
+    for chunk, n in chunks.items():
+        for word in _TOKEN.findall(chunk):
+            every[word] += n
+    low, zeros = [w.lower() for w in every], [0] * len(given)
+    return pa.RecordBatch.from_pydict({"word": [*low, *given], "lower_n": [n if w == k else 0 for (w, n), k in zip(every.items(), low)] + zeros, "all_n": [*every.values(), *zeros], "given_n": [0] * len(every) + [*given.values()]}, schema=_COUNTED)
+
+
 def learn_names(docs: DataFrame) -> Lexicon:
-    """Lexicon of a collection, from at most about SAMPLE_TEXTS of its texts (all where there are fewer).
+    """Lexicon of a collection, from all of its texts.
 
-    Given names come from names that stand beside a mail address, phone number, street address or identity number. At
-    most MOST_GIVEN and MOST_ORDINARY words reach the driver.
+    Given names come from names that stand beside a mail address, phone number, street address, identity number or
+    title. Only words that are kept reach the driver. Ordinary words are at most some ORDINARY_TEXTS times the words of
+    an average text, however many texts there are; given names are as many as the collection has.
     """
     texts = docs.where("text is not null and text <> ''").select("text")
     n = texts.count()
-    if n > SAMPLE_TEXTS:
-        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(-(-n // SAMPLE_TEXTS))) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every: Counter[str] = Counter()
+        chunks: Counter[str] = Counter()
         given: Counter[str] = Counter()
+        held = 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                taken = [m for m in mentions(text, NONE) if m[2] != "name"]
-                words = _TOKEN.findall(_without(text, taken))
-                every.update(words)
-                near = _names(text, {a: k for a, _, k in taken}, {b for _, b, k in taken if k == "id_number"}, NONE)
-                given.update(_parts(text[a:b])[0] for _, a, b, sure in near if sure)
-        words, n = list(every), list(every.values())
-        low = [w.lower() for w in words]
-        yield pa.RecordBatch.from_pydict({"word": low, "lower_n": [c if w == k else 0 for w, k, c in zip(words, low, n)], "all_n": n, "given_n": [0] * len(n)}, schema=_COUNTED)
-        yield pa.RecordBatch.from_pydict({"word": list(given), "lower_n": [0] * len(given), "all_n": [0] * len(given), "given_n": list(given.values())}, schema=_COUNTED)
+                parts, names = _chunks_and_given(text)
+                chunks.update(parts)
+                given.update(names)
+                held += len(text)
+                if held >= HELD:
+                    yield _counted(chunks, given)
+                    chunks.clear()
+                    given.clear()
+                    held = 0
+        yield _counted(chunks, given)
 
     counts = spread(texts).mapInArrow(run, _COUNTS).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("lower_n", "all_n", "given_n")])
-    kept = counts.where(f"(given_n >= {GIVEN_TIMES} and given_n >= {GIVEN_SHARE} * all_n and length(word) > 2) or (lower_n >= {max(2, min(n, SAMPLE_TEXTS) // ORDINARY_TEXTS)} and lower_n >= {ORDINARY_SHARE} * all_n)")
-    rows = kept.withColumn("is_given", F.expr(f"given_n >= {GIVEN_TIMES} and given_n >= {GIVEN_SHARE} * all_n"))
-    pick = lambda flag, by, most: {r.word for r in rows.where(F.col("is_given") == flag).orderBy(F.desc(by), "word").limit(most).select("word").collect()}
-    given, ordinary = pick(True, "given_n", MOST_GIVEN), pick(False, "lower_n", MOST_ORDINARY)
-    return Lexicon(frozenset(given | {x.lower() for x in GIVEN_NAMES}), frozenset(ordinary))
+    is_given = F.expr(f"given_n >= {GIVEN_TIMES} and given_n >= {GIVEN_SHARE} * all_n")
+    is_ordinary = F.expr(f"lower_n >= {max(2, n // ORDINARY_TEXTS)} and lower_n >= {ORDINARY_SHARE} * all_n")
+    kept = counts.where(is_given & (F.length("word") > 2) | is_ordinary).select("word", is_given.alias("is_given")).toArrow()
+    words = {flag: frozenset(kept.filter(pc.equal(kept["is_given"], flag))["word"].to_pylist()) for flag in (True, False)}
+    return Lexicon(words[True] | USUAL.given, words[False])
 
 
 # --- Pseudonyms --------------------------------------------------------------------------------------------------------

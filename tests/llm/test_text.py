@@ -300,3 +300,26 @@ def test_names_of_a_collection_are_learned(spark):
     lexicon = P.learn_names(docs)
     assert "zorvane" in lexicon.given and "plan" in lexicon.ordinary and "plimsola" not in lexicon.ordinary
     assert [texts[6][a:b] for a, b, k in P.mentions(texts[6], lexicon)] == ["Zorvane Quist"]
+
+
+def test_names_are_learned_from_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(P, "HELD", 1_000, raising=False)  # counts leave a task in parts
+    letters = F.translate(F.lpad(F.col("id").cast("string"), 5, "0"), string.digits, "abcdefghij")
+    rare = F.when(F.col("id") % 2_000 == 0, " the rareword plan").when(F.col("id") % 2_200 == 0, " the scarce plan").otherwise("")
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Owner: Z"), letters, F.lit(" Plimsol <p@site.example>"), rare).alias("text"))
+    lexicon = P.learn_names(docs)
+    assert {"z" + f"{i:05}".translate(str.maketrans(string.digits, "abcdefghij")) for i in range(24_000)} <= lexicon.given
+    assert "rareword" in lexicon.ordinary and "scarce" not in lexicon.ordinary  # once in 2 000 texts is ordinary: 12 of 24 000
+
+
+RARE_FORMS = [
+    ("wire to GB29 NWBK 6016 1331 9268 19 now", [("id_number", "GB29 NWBK 6016 1331 9268 19")]),
+    ("passport C01X00T478 and passport no. AB123456", [("id_number", "C01X00T478"), ("id_number", "AB123456")]),
+    ("write jo (at) site.example or jo at site dot example soon", [("email", "jo (at) site.example"), ("email", "jo at site dot example")]),
+    ("kept by: rosa nim, then\nby rosa keller", [("name", "rosa nim"), ("name", "rosa keller")]),
+]
+
+
+@pytest.mark.parametrize("text,want", RARE_FORMS)
+def test_quick_looks_lose_nothing(text, want):
+    assert [(k, text[a:b]) for a, b, k in P.mentions(text)] == want
